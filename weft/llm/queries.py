@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weft.llm import q_canon
+from weft.llm import q_canon, q_split
 
-_MODULES = [q_canon]
+_MODULES = [q_canon, q_split]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
