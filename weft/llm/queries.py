@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weft.llm import q_canon, q_near, q_split
+from weft.llm import q_canon, q_names, q_near, q_split
 
-_MODULES = [q_canon, q_near, q_split]
+_MODULES = [q_canon, q_names, q_near, q_split]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
