@@ -103,6 +103,7 @@ def similar_pairs(strings: DataFrame, k: int = 2) -> DataFrame:
         .join(_posted(s, k, ("_ns", "_key")), "_post")
         .where((F.col("ns") == F.col("_ns")) & (F.col("key") != F.col("_key")))
         .select("ns", F.least("key", "_key").alias("key_a"), F.greatest("key", "_key").alias("key_b"))
+        .where(F.levenshtein("key_a", "key_b", 2 * k) >= 0)  # a swap counts two there; keeps most pairs from Python
         .distinct()
     )
     return met.withColumn("edits", distance_udf(k)("key_a", "key_b")).where(F.col("edits") <= k)
@@ -121,6 +122,7 @@ def similar_to(strings: DataFrame, reference: DataFrame, k: int = 2) -> DataFram
         .join(_posted(r, k, ("_ns", "ref")), "_post")
         .where((F.col("ns") == F.col("_ns")) & (F.col("key") != F.col("ref")))
         .select("ns", "key", "ref")
+        .where(F.levenshtein("key", "ref", 2 * k) >= 0)
         .distinct()
     )
     near = met.withColumn("edits", distance_udf(k)("key", "ref")).where(F.col("edits") <= k)
