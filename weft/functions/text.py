@@ -172,7 +172,7 @@ def entity_type(kind: Column) -> Column:
 
 
 def confidence_text(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    return F.when(x.isNotNull(), F.format_string("%.2f", x))
 
 
 def receipt(s: Column, p: Column, o: Column, conf: Column) -> Column:
