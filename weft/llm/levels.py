@@ -40,7 +40,7 @@ ITEM = re.compile(r"\s*(?:[#|>*+•]|[-–]\s|\d+[.)]\s|https?://|\Z)")
 END = re.compile(r"[.!?。…]['\")»”]*\s*\Z")
 SPEAKER = re.compile(r"\A\s*[A-ZÀ-Þ][\w-]{0,14}:\s+")
 SENTENCE = re.compile(r"[.!?。…]+(?=\s|['\")»”]|\Z)")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w])")
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
 
 
 def prose_lines(text: str) -> list[str]:
