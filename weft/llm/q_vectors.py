@@ -12,6 +12,8 @@ from weft.sources.tables import table
 DIM = 64
 K = 5
 LEAST = 0.90
+#: Neighbours of any cosine share fewer pivots: longer files, more of them, and most of each reranked.
+WIDE = {"posted": 5, "share": 0.6, "density": 0.65}
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar ids of every id, however similar; posted more widely, as distant neighbours share fewer pivots."""
-    return neighbours(*most_similar(_rows(spark, d), DIM, K, posted=5, reranked=256), K).withColumn("cosine", F.round("cosine", 6))
+    return neighbours(*most_similar(_rows(spark, d), DIM, K, **WIDE), K).withColumn("cosine", F.round("cosine", 6))
 
 
 def p2_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +37,7 @@ def p2_recall(spark: SparkSession, d: str) -> DataFrame:
     out = []
     for name, found, truth in (
         ("p2_found", neighbours(*most_similar(rows, DIM, K, LEAST), K), exact.where(F.col("cosine") >= LEAST)),
-        ("p2_neighbours", neighbours(*most_similar(rows, DIM, K, posted=5, reranked=256), K), exact),
+        ("p2_neighbours", neighbours(*most_similar(rows, DIM, K, **WIDE), K), exact),
     ):
         hit = truth.join(found.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")
         out.append(hit.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found")).withColumn("query", F.lit(name)))

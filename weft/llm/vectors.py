@@ -41,9 +41,9 @@ BLOCK = 256
 ROWS_A_TASK = 100_000
 
 
-def pivots_for(rows: int) -> int:
+def pivots_for(rows: int, density: float = 2.6) -> int:
     """Number of pivots: grows with the square root, so files grow no faster."""
-    return max(8, min(MAX_PIVOTS, 1 << round(math.log2(max(2.6 * math.sqrt(max(rows, 1)), 1)))))
+    return max(8, min(MAX_PIVOTS, 1 << round(math.log2(max(density * math.sqrt(max(rows, 1)), 1)))))
 
 
 def latest(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -123,7 +123,7 @@ def footrule_bits(prefix: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rank(k: int, least: float, dim: int, reranked: int):
+def _rank(k: int, least: float, dim: int, reranked: int, share: float):
     def one(names: np.ndarray, x: np.ndarray, prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         names, first = np.unique(names, return_index=True)
         n = len(names)
@@ -133,17 +133,17 @@ def _rank(k: int, least: float, dim: int, reranked: int):
         wide /= np.sqrt((wide * wide).sum(axis=1))[:, None]
         unit, bits = wide.astype(np.float32), footrule_bits(prefix[first])
         block = max(16, min(BLOCK, 4_000_000 // n))
-        best = min(k + 3, n - 1)
+        best, tried = min(k + 3, n - 1), max(reranked, int(share * n))
         for at in range(0, n, block):
             rows = slice(at, min(at + block, n))
             near = unit[rows] @ unit.T
             near[np.arange(near.shape[0]), np.arange(rows.start, rows.stop)] = -2
-            if n > reranked + 1:
+            if n > tried + 1:
                 common = np.zeros(near.shape, dtype=np.uint8)
                 for t in range(bits.shape[1]):
                     for w in range(WORDS):
                         common += np.bitwise_count(bits[rows, t, w][:, None] & bits[None, :, t, w])
-                last = np.partition(common, n - reranked - 1, axis=1)[:, n - reranked - 1]
+                last = np.partition(common, n - tried - 1, axis=1)[:, n - tried - 1]
                 near[common < last[:, None]] = -2
             if least > -1:
                 i, j = np.nonzero(near >= least - 1e-5)
@@ -184,9 +184,16 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(n, -1)
 
 
-def most_similar(rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, posted: int = 3, reranked: int = RERANKED) -> tuple[DataFrame, DataFrame]:
+def most_similar(
+    rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, posted: int = 3, reranked: int = RERANKED, share: float = 0.0, density: float = 2.6
+) -> tuple[DataFrame, DataFrame]:
     """(members: id, class; lists: class, near array<struct<id, cosine>>).
 
+    posted: files that a vector is posted in. reranked, share: how many of a file,
+    or which share of it if that is more, are reranked. density: pivots per
+    square root of the rows; fewer pivots make longer files. The defaults suit
+    neighbours of high cosine; distant ones share fewer pivots.
+
     rows: id long, vector array<float>. Vectors of one direction are one class.
     ``near`` has, best first, up to k + 1 ids for the class with a cosine of at
     least ``least``, its own ids among them: the first k without the id itself
@@ -201,7 +208,7 @@ def most_similar(rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, pos
     spark = rows.sparkSession
     rows = rows.select("id", F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
     count = rows.count()
-    wanted = pivots_for(count)
+    wanted = pivots_for(count, density)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(2 * wanted)
     _, _, pivots = _valid(pa.RecordBatch.from_pylist([{"id": r["id"], "vector": r["vector"]} for r in sample.collect()], schema=pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32()))])), dim)
     pivots = np.unique(pivots.astype(np.float32), axis=0)
@@ -220,7 +227,7 @@ def most_similar(rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, pos
     met = (
         _index(rows, dim, spark.sparkContext.broadcast(pivots), posted)
         .repartition(tasks, "file")
-        .mapInArrow(_rank(k, least, dim, reranked), "a long, b long, cosine double")
+        .mapInArrow(_rank(k, least, dim, reranked, share), "a long, b long, cosine double")
     )
     # a class speaks through its k + 1 least ids
     speakers = members.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1)
