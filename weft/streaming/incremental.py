@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.text import mime_of, modality_of
 from weft.model import Options
 from weft.plans.ingest import Providers, ingest
 
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def ingest_arrivals(spark: SparkSession, folder: str, options: Options, checkpoint: str, providers: Providers | None = None) -> list[dict]:
     """Ingest the files that arrived since the last call, through the same batch plan as a full run.
 
     The stream only says which files are new; content identity makes a batch that
-    is run twice harmless. Names that begin with _ or . are not seen by the
-    stream and are left to a full run. Returns a report per batch.
+    is run twice harmless. Empty files and names that begin with _ or . are not
+    seen by the stream and are left to a full run. Returns a report per batch.
     """
-    from weft.functions.text import mime_of, modality_of
-
-    arrived = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    arrived = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true").load(folder)
     root = options.root.rstrip("/")
     files = arrived.select(
         F.regexp_replace("path", "^file:/+", "/").alias("abspath"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size")
