@@ -78,7 +78,7 @@ def _scan(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(scan, "id string, fp long, n int, ring binary, block int, counts binary")
 
 
-def _add_counts(key, batch: pd.DataFrame) -> pd.DataFrame:
+def _add_counts(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
     cells = COUNTERS // BLOCKS
     total = np.zeros(cells, dtype=np.int64)
     for data in batch["counts"]:
@@ -239,7 +239,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
             if part.any():
                 yield pd.DataFrame({"block": [b], "bits": [part.tobytes()]})
 
-    def unite(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def unite(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(FILTER_BITS // 8 // BLOCKS, np.uint8)
         for data in batch["bits"]:
             out |= np.frombuffer(data, np.uint8)
