@@ -149,3 +149,54 @@ def test_extraction():
     assert extract(model, "text")["summary"] == "ok" and "not valid" in model.asked[1]
     assert extract(Model("bad", None), "text") is None
     assert not looks_binary(b"ok")
+
+
+def test_media_and_api(spark, tmp_path):
+    put(tmp_path / "t", a_dot_png=b"\x09PNG one", b_dot_png=b"\xf0PNG two", c_dot_txt="Nothing about towers here.")
+    from weft.api import Engine
+
+    class Media:  # here, so that it is sent to the workers as it is
+        def derive(self, content, mime, modality):
+            return f"A {modality} of a lighthouse. " + content.decode("latin-1")[:20]
+
+        def embed_media(self, content, mime):
+            return [float(content[0]), 1.0] + [0.0] * 62
+
+    m = Media()
+    e = Engine(spark, str(tmp_path / "db"), Providers(HashEmbedder(), RuleLLM(), m, m))
+    assert e.ingest(str(tmp_path / "t"))["new"] == 3
+    assert e.store.read("vector").where("modality = 'image'").count() == 2
+    put(tmp_path, q_dot_png=b"\xf0PNG two")
+    found = e.search("", query_file=str(tmp_path / "q.png"))
+    assert found["sources"][0]["path"] == "b.png" and found["candidates"][0]["chunk_id"].endswith(":0001")
+    ids = e.store.read("chunk").where("ordinal > 0").select("chunk_id")
+    assert e.content.text(ids).count() == 3 and e.graph.about(ids).count() == 3
+    assert e.graph.sparql("SELECT ?c { ?c a ch:Chunk }").count() == e.store.read("chunk").count()
+    assert e.llm.extract("Ann Bell knows Bob Cole.")["relations"][0]["predicate"] == "knows"
+    assert e.graph.neighbors(ids.limit(1)).columns == ["chunk_id", "distance", "shared"]
+    for i in range(3):  # later runs add folders, a vacuum makes one of them
+        put(tmp_path / "t", **{f"n{i}_dot_txt": f"number {i} of towers"})
+        e.ingest(str(tmp_path / "t"))
+    assert len(e.store.parts("posting")) == 4 and len(e.retrieve.keyword("towers", 9).collect()) == 4
+    put(tmp_path / "t", n1_dot_txt="changed")
+    e.ingest(str(tmp_path / "t"))
+    assert e.vacuum()["vacuumed"] == 1 and len(e.store.parts("posting")) == 1
+    assert len(e.retrieve.keyword("towers", 9).collect()) == 3
+
+
+def test_quantized(spark):
+    import numpy as np
+
+    from weft.functions.quantize import decode, encode, encoded, estimated
+
+    x = np.random.default_rng(1).normal(size=(200, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for bits, least in ((2, 0.9), (3, 0.96), (4, 0.98)):
+        code = encode(x, bits)
+        assert code.shape == (200, 64 * bits // 8)
+        assert (decode(code, 64, bits) * unit).sum(axis=1).mean() > least
+    with pytest.raises(ValueError):
+        encode(x[:, :7], 4)
+    df = encoded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>"), "v")
+    top = df.select("id", estimated("code", x[7].tolist()).alias("s")).orderBy("s", ascending=False).first()
+    assert top.id == 7

@@ -142,3 +142,15 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     rows = df.select(X.dot(F.col("a"), F.col("b")), X.norm(F.col("a")), X.normalized(F.col("a"))).collect()
     assert [(r[0], r[1]) for r in rows] == [(24.0, 5.0), (0.0, 0.0)] and rows[1][2] == [0.0, 0.0]
+
+
+def test_budget_and_media(spark):
+    from weft.operators.fusion import budgeted, fuse, media_to_text
+
+    df = spark.createDataFrame([(1, "a", 1, 60), (1, "b", 2, 50), (1, "c", 3, 40), (2, "a", 1, 101)], "query_id int, chunk_id string, rank int, size int")
+    assert sorted(map(tuple, budgeted(df, 100).collect())) == [(1, "a", 1), (1, "c", 2)]
+    hits = spark.createDataFrame([("d:0000", 0.9, 1), ("d:0001", 0.5, 2), ("e:0003", 0.4, 3)], "chunk_id string, score double, rank int")
+    moved = media_to_text(hits)
+    assert {(r.chunk_id, r.rank) for r in moved.collect()} == {("d:0001", 1), ("e:0003", 3)}
+    top = fuse({"x": moved, "y": hits.where("rank = 2").withColumn("rank", F.lit(1))}, 1).first()
+    assert top.chunk_id == "d:0001" and abs(top.fused - 2 / 61) < 1e-12

@@ -53,7 +53,7 @@ def options_of(args: argparse.Namespace) -> tuple[str, Options]:
     if command == "sparql":
         o.query = words.pop(0) if words else sys.stdin.read()
     if command == "search":
-        o.query = args.search or open(args.search_file, encoding="utf-8").read()
+        o.query, o.query_file = args.search or "", args.search_file or ""
     if words:
         o.root = os.path.abspath(words[0])
     o.db = args.db or os.path.join(o.root or os.getcwd(), DB_DIR)

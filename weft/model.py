@@ -55,6 +55,7 @@ class Options:
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
     query: str = ""
+    query_file: str = ""
     k: int = 24
     keep: int = 12
     hops: int = 1

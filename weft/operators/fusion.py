@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weft.functions.native import fit_budget
 
 RRF_K = 60.0
 
@@ -25,8 +29,6 @@ def fuse(legs: dict[str, DataFrame], keep: int, id: str = "chunk_id", by: list[s
     )
     if not by:
         return total.orderBy(F.desc("fused"), id).limit(keep)
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*by).orderBy(F.desc("fused"), id)
     return total.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 
@@ -35,3 +37,18 @@ def media_to_text(hits: DataFrame, id: str = "chunk_id") -> DataFrame:
     """A hit on raw media (ordinal 0) stands for the first text chunk of its document; of several the best counts."""
     moved = hits.withColumn(id, F.regexp_replace(id, ":0000$", ":0001"))
     return moved.groupBy(id).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+
+
+def budgeted(candidates: DataFrame, budget: int, by: str = "query_id", id: str = "chunk_id") -> DataFrame:
+    """by, id, n: what a reader of the ranked candidates of each query takes who skips what does not fit the budget any more.
+
+    candidates: by, id, rank, size; the ranked hits of a query, some hundreds at most.
+    """
+    types = dict(candidates.dtypes)
+
+    def take(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["rank", id], kind="stable").reset_index(drop=True)
+        kept = fit_budget(group["size"].tolist(), budget)
+        return group.loc[kept, [by, id]].assign(n=range(1, len(kept) + 1))
+
+    return candidates.select(by, id, "rank", "size").groupBy(by).applyInPandas(take, f"`{by}` {types[by]}, `{id}` {types[id]}, n int")

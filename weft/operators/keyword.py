@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.text import salient_terms, words
+from weft.plans.storage import materialize
 
 K1, B = 1.2, 0.75
+#: Terms that one pass looks for; they become one filter.
+MAX_TERMS_AT_ONCE = 1000
 
 
 def postings(texts: DataFrame, id: str = "chunk_id", text: str = "text", split=words) -> tuple[DataFrame, DataFrame]:
@@ -54,6 +57,18 @@ def keyword_hits(posting: DataFrame, chunk_len: DataFrame, terms: list[str], k:
     return ranked(best, "score", id)  # at most k rows per term
 
 
+def keyword_hits_many(posting: DataFrame, chunk_len: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id") -> DataFrame:
+    """query_id, id, score, rank: :func:`keyword_hits` of several queries (query_id, query), all scored in one pass over the postings."""
+    terms = materialize(query_terms(queries), "query-terms")
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MAX_TERMS_AT_ONCE + 1).collect()]
+    if len(wanted) > MAX_TERMS_AT_ONCE:
+        raise ValueError(f"more than {MAX_TERMS_AT_ONCE} terms: pass the queries in blocks")
+    per_term = Window.partitionBy("term").orderBy(F.desc("score"), id)
+    scored = bm25(posting, chunk_len, sorted(wanted), id).withColumn("_rn", F.row_number().over(per_term)).where(F.col("_rn") <= k)
+    best = terms.join(scored, "term").groupBy("query_id", id).agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id)))
+
+
 def ranked(df: DataFrame, score: str, id: str) -> DataFrame:
     """Rank of a small result, best first, ties to the lesser id."""
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), id)))

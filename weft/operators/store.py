@@ -1,8 +1,10 @@
 """A database folder: immutable table snapshots and one pointer file that is swapped by rename.
 
-A commit writes only the tables that change, as new folders; the pointer names
-the folder of every table. Readers see the old pointer or the new one. One
-writer at a time holds the lock file. Works on any Hadoop file system.
+A commit writes only what changes, as new folders: a table anew, or rows to add
+to it. The pointer names the folders of every table. Readers see the old pointer
+or the new one. One writer at a time holds the lock file. Tables that are looked
+up by a column are written in its order, so scans skip row groups. Works on any
+Hadoop file system.
 """
 
 from __future__ import annotations
@@ -15,6 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.model import TABLES
 
 
+#: Column in whose order a table is written.
+LAYOUT = {"posting": "term", "mention": "slug", "chunk": "chunk_id", "vector": "docid", "relation": "chunk_id", "path": "relpath", "doc": "docid"}
+#: Folders of a table beyond which it is written anew as one.
+MAX_PARTS = 32
+
+
 class Locked(RuntimeError):
     """Another writer is at work."""
 
@@ -42,24 +50,34 @@ class Store:
     def version(self) -> int:
         return self._load()["version"]
 
+    def parts(self, table: str) -> list[str]:
+        return self._load()["tables"].get(table, [])
+
     def read(self, table: str) -> DataFrame:
-        at = self._load()["tables"].get(table)
-        if at is None:
+        parts = self.parts(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.folder}/{at}")
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.folder}/{at}" for at in parts])
 
-    def commit(self, changes: dict[str, DataFrame]) -> int:
-        """Write the changed tables and swap the pointer; on failure the pointer is untouched."""
+    def commit(self, changes: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> int:
+        """Write tables anew (changes) or rows to add to them, and swap the pointer; on failure the pointer is untouched."""
         state = self._load()
         version = state["version"] + 1
-        made = []
+        changes, added, made = dict(changes), dict(added or {}), []
+        for table in list(added):
+            if len(state["tables"].get(table, [])) >= MAX_PARTS:
+                df = added.pop(table)
+                changes[table] = self.read(table).unionByName(df.select(*TABLES[table].names))
         try:
-            for table, df in changes.items():
+            for table, df in (*changes.items(), *added.items()):
                 at = f"data/v{version:06d}-{uuid.uuid4().hex[:8]}/{table}"
                 made.append(at)
                 schema = TABLES[table]
-                df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{self.folder}/{at}")
-                state["tables"][table] = at
+                df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+                if table in LAYOUT:
+                    df = df.repartitionByRange(LAYOUT[table]).sortWithinPartitions(LAYOUT[table])
+                df.write.parquet(f"{self.folder}/{at}")
+                state["tables"][table] = [at] if table in changes else [*state["tables"].get(table, []), at]
         except BaseException:
             for at in made:
                 self._fs.delete(self._path(at), True)
@@ -83,7 +101,7 @@ class Store:
 
     def clean(self) -> int:
         """Delete table folders that the pointer does not name; returns how many."""
-        kept, gone = set(self._load()["tables"].values()), 0
+        kept, gone = {at for parts in self._load()["tables"].values() for at in parts}, 0
         if not self._fs.exists(self._path("data")):
             return 0
         for version in self._fs.listStatus(self._path("data")):

@@ -20,7 +20,7 @@ from weft.model import COMMITTED, Options
 from weft.operators.keyword import postings
 from weft.operators.store import Store
 from weft.operators.tables import classify, insert_ignore, supersede, unread, upsert
-from weft.plans.providers import LLM, Embedder, HashEmbedder, MediaDeriver, RuleLLM, extract
+from weft.plans.providers import LLM, Embedder, HashEmbedder, MediaDeriver, MediaEmbedder, RuleLLM, extract
 from weft.plans.storage import materialize
 from weft.sources.walk import walk, with_content, with_identity
 
@@ -32,6 +32,7 @@ class Providers:
     embedder: Embedder
     llm: LLM
     media: MediaDeriver | None = None
+    media_embedder: MediaEmbedder | None = None
 
     @classmethod
     def default(cls) -> Providers:
@@ -86,6 +87,20 @@ def embed(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     )
 
 
+def media_vectors(files: DataFrame, embedder: MediaEmbedder) -> DataFrame:
+    """One vector per image or sound, under ordinal 0 of its document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [None if c is None else embedder.embed_media(bytes(c), m) for c, m in zip(batch["content"], batch["mime"])]
+            rows = batch[["docid", "modality"]].assign(embedding=got)
+            rows.insert(0, "chunk_id", rows["docid"] + ":0000")
+            yield rows[[v is not None for v in got]]
+
+    source = with_content(files.where("modality <> 'text'").select("docid", "abspath", "mime", "modality").dropDuplicates(["docid"]))
+    return source.mapInPandas(run, "chunk_id string, docid string, modality string, embedding array<float>")
+
+
 EXTRACTED = (
     "chunk_id string, summary string, extraction_failed boolean, tags array<string>, entities array<struct<name:string,type:string>>, "
     "relations array<struct<subject:string,predicate:string,object:string,confidence:double>>"
@@ -173,13 +188,16 @@ def ingest(
         back = new_doc.join(live.withColumn("_live", F.lit(True)), "docid", "left")
         new_doc = back.withColumn("superseded_by", F.when(F.col("_live").isNull(), F.col("superseded_by"))).select(*doc.columns)
 
-        ids = made.select("docid")
-        of_chunk = lambda df: df.join(ids, F.substring_index("chunk_id", ":", 1) == ids.docid, "left_anti")
+        # only documents without rows are worked on, so their rows are added and no table is rewritten for them
         full_chunk = chunks.join(found.select("chunk_id", "summary", "extraction_failed"), "chunk_id", "left")
-        add = {"chunk": full_chunk, "vector": vectors, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
-        changes = {name: of_chunk(store.read(name)).unionByName(df.select(*store.read(name).columns)) for name, df in add.items()}
-        changes |= {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root)}
-        store.commit(changes)
+        if providers.media_embedder:
+            media = materialize(media_vectors(work, providers.media_embedder), "ingest-media")
+            vectors = vectors.unionByName(media)
+            raw = media.select("chunk_id", "docid", F.lit(0).alias("ordinal"), "modality")
+            full_chunk = full_chunk.unionByName(raw, allowMissingColumns=True)
+        added = {"chunk": full_chunk, "vector": vectors, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
+        changes = {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root)}
+        store.commit(changes, added)
         report["superseded"] = replaced.select("docid").distinct().count()
         report["chunks"] = chunks.count()
         report["failed"] = found.where("extraction_failed").count()

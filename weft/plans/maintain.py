@@ -64,7 +64,7 @@ def vacuum(spark: SparkSession, options: Options) -> dict:
             new_doc, new_path, new_chunk = forget(doc, path, chunk, ids)
             gone = chunk.join(ids, "docid", "left_semi").select("chunk_id")
             rest = {t: store.read(t).join(gone, "chunk_id", "left_anti") for t in ("vector", "mention", "entity", "tagged", "relation", "posting", "chunk_len")}
-            store.commit({"doc": new_doc, "path": new_path, "chunk": new_chunk, **rest})
+            store.commit({"doc": new_doc, "path": new_path, "chunk": new_chunk, **rest})  # each table is one folder again
         return {"vacuumed": count, "folders": store.clean()}
 
 

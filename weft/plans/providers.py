@@ -34,6 +34,10 @@ class MediaDeriver(Protocol):
     def derive(self, content: bytes, mime: str, modality: str) -> str | None: ...
 
 
+class MediaEmbedder(Protocol):
+    def embed_media(self, content: bytes, mime: str) -> list[float] | None: ...
+
+
 class HashEmbedder:
     """Unit vectors of hashed words and word pairs."""
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.native import fit_budget, tap_file
 from weft.functions.text import BYTES_PER_TOKEN, cited_numbers
-from weft.model import Options
-from weft.operators.fusion import fuse
+from weft.model import SCHEME, Options
+from weft.operators.fusion import fuse, media_to_text
 from weft.operators.graph import cards, expand, receipts
 from weft.operators.keyword import bm25, keyword_hits, query_terms
 from weft.operators.store import Store
@@ -19,7 +19,9 @@ from weft.operators.tables import live
 from weft.operators.vectors import nearest
 from weft.plans.ingest import Providers
 from weft.plans.providers import ANSWER_PROMPT
+from weft.plans.sparql import term_of
 from weft.plans.storage import materialize
+from weft.sources.walk import mime_of_path, modality_of_path
 
 
 class Retrieval:
@@ -45,10 +47,20 @@ class Retrieval:
         live_only = lambda df: df.join(ids, "chunk_id", "left_semi")
         return keyword_hits(live_only(self.store.read("posting")), live_only(self.store.read("chunk_len")), terms, k)
 
-    def fused(self, text: str, k: int, keep: int) -> DataFrame:
+    def media(self, vector: list[float], modality: str, k: int) -> DataFrame:
+        """Documents whose raw image or sound is near, as their first text chunk."""
+        query = self.spark.createDataFrame([(0, vector)], "query_id int, query array<float>")
+        allowed = self.store.read("vector").where(F.col("modality") == modality).join(self.docs.select("docid"), "docid", "left_semi")
+        return media_to_text(nearest(query, allowed, "chunk_id", k).select("chunk_id", "score", "rank"))
+
+    def fused(self, text: str, k: int, keep: int, media: tuple[list[float], str] | None = None) -> DataFrame:
         legs = {"vector": materialize(self.vector(text, k), "leg"), "keyword": materialize(self.keyword(text, k), "leg")}
+        if media:
+            legs["media"] = materialize(self.media(*media, k), "leg")
         top = fuse({n: df.select("chunk_id", "rank") for n, df in legs.items()}, keep)
-        return top.join(legs["vector"].select("chunk_id", F.col("score").alias("cosine")), "chunk_id", "left")
+        near = [df.select("chunk_id", "score") for n, df in legs.items() if n != "keyword"]
+        cosine = near[0] if len(near) == 1 else near[0].unionByName(near[1])
+        return top.join(cosine.groupBy("chunk_id").agg(F.max("score").alias("cosine")), "chunk_id", "left")
 
     def candidates(self, text: str, k: int) -> DataFrame:
         """All chunks that either leg finds."""
@@ -56,9 +68,6 @@ class Retrieval:
 
     def word_search(self) -> Callable[[str, bool], DataFrame]:
         """Full-text patterns of the graph language."""
-        from weft.model import SCHEME
-        from weft.plans.sparql import term_of
-
         def find(word: str, beginning: bool) -> DataFrame:
             posting = self.store.read("posting")
             hits = bm25(posting if beginning else posting.where(F.col("term") == word), self.store.read("chunk_len"), [word])
@@ -86,7 +95,10 @@ def search(spark: SparkSession, options: Options, providers: Providers | None =
     providers = providers or Providers.default()
     store = Store(spark, options.db)
     r = Retrieval(store, providers, options.include_superseded)
-    top = materialize(r.fused(options.query, options.k, options.keep).select("chunk_id", "fused", "cosine"), "search-top")
+    media = None
+    if options.query_file:
+        options.query, media = question_of(options.query_file, providers)
+    top = materialize(r.fused(options.query, options.k, options.keep, media).select("chunk_id", "fused", "cosine"), "search-top")
     # at most ``keep`` and a few hundred rows come to the driver from here on
     best = r.about(top).join(top, "chunk_id").orderBy(F.desc("fused"), "chunk_id").collect()
     if not best:
@@ -111,6 +123,19 @@ def search(spark: SparkSession, options: Options, providers: Providers | None =
     }
 
 
+def question_of(path: str, providers: Providers) -> tuple[str, tuple[list[float], str] | None]:
+    """A file as a question: its text, or what a provider derives from an image or sound, and the vector of the raw media."""
+    modality = modality_of_path(path)
+    with open(path, "rb") as f:
+        content = f.read()
+    if modality == "text":
+        return content.decode("utf-8", "replace"), None
+    mime = mime_of_path(path)
+    text = providers.media.derive(content, mime, modality) if providers.media else ""
+    vector = providers.media_embedder.embed_media(content, mime) if providers.media_embedder else None
+    return text or "", (vector, modality) if vector else None
+
+
 def verify_sources(spark: SparkSession, store: Store, cited: list[dict]) -> list[dict]:
     """verified, drifted or missing for each cited source, by the kind of hash that its document was stored with."""
     if not cited:

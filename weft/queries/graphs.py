@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import iri_tail, rel_slug, slugify
 from weft.operators import graph as G
-from weft.operators.keyword import bm25, keyword_hits, postings
+from weft.operators.fusion import budgeted
+from weft.operators.keyword import bm25, keyword_hits, keyword_hits_many, postings
 from weft.plans import sparql
 from weft.plans.storage import materialize
 from weft.queries.manifest import _BASE, _chunk, _doc, _path
@@ -105,6 +106,15 @@ def graph_expansion(spark: SparkSession, d: str) -> DataFrame:
     return G.expand(_seeds(spark, d), materialize(G.mentions(_entities(spark, d)), "mentions"), t, total, hops=2)
 
 
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """For the gloss of every canonical entry as a question: the found chunks that fit a context of 1024 tokens."""
+    t = _texts(spark, d)
+    posting, lengths = postings(t)
+    questions = table(spark, d, "canon").select(F.col("canon_id").alias("query_id"), F.col("gloss").alias("query"))
+    hits = keyword_hits_many(materialize(posting, "postings"), materialize(lengths, "lengths"), questions, 24)
+    return budgeted(hits.join(t.select("chunk_id", F.octet_length("text").alias("size")), "chunk_id"), 1024 * 4)
+
+
 def _sparql(text: str, kinds: dict[str, str] | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         def words(word: str, beginning: bool) -> DataFrame:
@@ -195,7 +205,7 @@ select 'kb://chunk/' || y.chunk_id chunk from w x join w y using (text)""",
 QUERIES = {
     f.__name__: f
     for f in (
-        triples_by_predicate, triples_written, vacuum_live, entity_df, hub_entities, comention, siblings, candidate_cards, relation_receipts, graph_expansion,
+        triples_by_predicate, triples_written, vacuum_live, entity_df, hub_entities, comention, siblings, candidate_cards, relation_receipts, graph_expansion, context_budget,
     )
 } | {name: _sparql(text, kinds) for name, (text, kinds, _) in _SPARQL.items()}
 

@@ -19,7 +19,7 @@ def rel_slug(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_id_format(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunk").select("veckey", X.chunk_id(X.F.lower(F.trim("docid")), F.col("ordinal")).alias("chunk_id"))
+    return table(spark, d, "chunk").select("veckey", X.chunk_id(F.lower(F.trim("docid")), F.col("ordinal")).alias("chunk_id"))
 
 
 def iri_round_trip(spark: SparkSession, d: str) -> DataFrame:
