@@ -23,19 +23,20 @@ MAX_COMENTIONS = 200
 # --- triples ---------------------------------------------------------------------------------------------------------
 
 
-def _triple(s: Column, p: str | Column, o: Column, kind: str = "literal", datatype: str = "string") -> Column:
-    return F.struct(
+def _triple(s: Column, p: str | Column, o: Column, kind: str = "literal", datatype: str = "string") -> list[Column]:
+    return [
         s.alias("s"), (F.lit(ONTOLOGY + p) if isinstance(p, str) else p).alias("p"), o.cast("string").alias("o"),
         F.lit(kind).alias("o_kind"), (F.lit(XSD + datatype) if kind == "literal" else F.lit(None).cast("string")).alias("o_datatype"),
-    )
+    ]
 
 
-def _a(s: Column, cls: str) -> Column:
+def _a(s: Column, cls: str) -> list[Column]:
     return _triple(s, F.lit(RDF_TYPE), F.lit(ONTOLOGY + cls), "iri")
 
 
-def _rows(df: DataFrame, *triples: Column) -> DataFrame:
-    return df.select(F.explode(F.array(*triples)).alias("_t")).select("_t.*").where("s is not null and o is not null")
+def _rows(df: DataFrame, *triples: list[Column]) -> DataFrame:
+    """One projection per kind of triple: a filter on a predicate folds to false in all others, which then drop out of the plan."""
+    return reduce(DataFrame.unionByName, (df.select(*t).where("s is not null and o is not null") for t in triples))
 
 
 def doc_triples(doc: DataFrame, path: DataFrame, chunk: DataFrame) -> DataFrame:

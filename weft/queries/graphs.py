@@ -125,7 +125,7 @@ def _sparql(text: str, kinds: dict[str, str] | None = None):
                 F.concat(F.lit("<kb://chunk/"), "chunk_id", F.lit(">")).alias("chunk"), said.alias("text"), "score"
             )
 
-        out = sparql.run(materialize(_triples(spark, d), "triples"), "PREFIX ch: <kb://ontology#> " + text, words)
+        out = sparql.run(_triples(spark, d), "PREFIX ch: <kb://ontology#> " + text, words)
         return out.select(*[F.col(c).cast(kinds[c]).alias(c) if kinds and c in kinds else F.col(c) for c in out.columns])
 
     return run
