@@ -116,7 +116,7 @@ def _post(texts: DataFrame, width: int, t: float, frequency, parts: int) -> Data
             new[keep] = np.arange(len(keep))
             mine = new[owner] >= 0
             h, owner, n = h[mine], new[owner[mine]], n[keep]
-            order = np.lexsort((h, rare[(h >> np.uint64(44)).astype(np.int64)], owner))
+            order = np.lexsort((rare[(h >> np.uint64(44)).astype(np.int64)], owner))  # stable: ties stay in order of the hash
             h, owner = h[order], owner[order]
             n = np.bincount(owner, minlength=len(fp))
             at = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
