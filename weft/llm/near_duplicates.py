@@ -37,8 +37,9 @@ BLOCKS = 64
 MEET = 3
 #: Postings that one task of the index takes.
 POSTINGS_A_TASK = 1_000_000
-#: Bits of the filter that keeps sets without a candidate pair from being moved; fixed, so it is small at any scale.
+#: Bits of the filter that keeps texts without a candidate pair from being read again; fixed, so it is small at any scale.
 FILTER_BITS = 1 << 25
+FILTER_TASKS = 8
 EPS = 1e-9
 
 
@@ -247,30 +248,29 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
     size = FILTER_BITS // 8 // BLOCKS
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.mapInPandas(build, "block int, bits binary").groupBy("block").applyInPandas(unite, "block int, bits binary").toLocalIterator():
+    few = ids.repartition(FILTER_TASKS)  # each of them sends a whole filter
+    for r in few.mapInPandas(build, "block int, bits binary").groupBy("block").applyInPandas(unite, "block int, bits binary").toLocalIterator():
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
 def _sets(texts: DataFrame, width: int, wanted) -> DataFrame:
-    """fp and the whole set (40 bits a shingle) of the texts whose fingerprint the filter lets pass."""
+    """fp and the whole set (40 bits a shingle) of the texts whose id the filter lets pass."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bits, seen = WordHashes(), np.unpackbits(wanted.value).astype(bool), set()
+        known, bits = WordHashes(), np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
-            h, owner, n = shingle_sets(batch["text"].tolist(), width, known)
+            hit = bits[_filter_places(batch["hash"].to_numpy())].reshape(2, -1).all(axis=0)
+            h, _, n = shingle_sets(batch["text"][hit].tolist(), width, known)
             if not len(h):
                 continue
-            fp = fingerprints(h, n)
-            hit = bits[_filter_places(fp)].reshape(2, -1).all(axis=0) & (n > 0)
-            ends = np.cumsum(n)
-            rows = []
-            for i in np.flatnonzero(hit):
+            fp, ends, rows = fingerprints(h, n), np.cumsum(n), []
+            for i in np.flatnonzero(n):
                 part = np.sort(mixed(h[ends[i] - n[i] : ends[i]]) >> np.uint64(24))
                 rows.append((int(fp[i].view(np.int64)), part.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
             yield pd.DataFrame(rows, columns=["fp", "shingles"])
 
-    return texts.mapInPandas(sets, "fp long, shingles binary")
+    return texts.select(F.xxhash64("id").alias("hash"), "text").mapInPandas(sets, "fp long, shingles binary")
 
 
 def _hamming(t: float):
@@ -329,8 +329,11 @@ def near_duplicates(texts: DataFrame, id: str, text: str, threshold: float = 0.8
         rings.select(F.col("fp").alias("b"), F.col("ring").alias("ring_b")), "b"
     )
     alive = materialize(ringed.mapInPandas(_pigeonring(threshold), "a long, b long"), "near-ring")
-    wanted = spark.sparkContext.broadcast(_filter(alive.select(F.explode(F.array("a", "b")).alias("id"))))
-    sets = _sets(source, width, wanted).groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    # of each class that is left one text is read again
+    needed = alive.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    speakers = members.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    wanted = spark.sparkContext.broadcast(_filter(speakers.select(F.xxhash64("id").alias("id"))))
+    sets = _sets(source, width, wanted).join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     sets = materialize(sets, "near-sets")
     pairs = (
         alive.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("shingles_a")), "a")
