@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.shingles import WordHashes, fingerprints, mixed, shingle_sets
@@ -101,8 +101,19 @@ def _prefix_sizes(n: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(n, n - np.ceil(t * n - EPS).astype(np.int64) + MEET)
 
 
-def _post(texts: DataFrame, width: int, t: float, frequency, parts: int) -> DataFrame:
+def _labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of ``parts`` partitions a number that is hashed into it, so that every task of the index gets one part."""
+    place = F.pmod(F.hash("n"), F.lit(parts)).alias("place")
+    found = spark.range(parts * 40).select(F.col("id").cast("int").alias("n")).groupBy(place).agg(F.min("n").alias("n")).collect()
+    labels = np.arange(parts, dtype=np.int64)
+    for r in found:
+        labels[r["place"]] = r["n"]
+    return labels
+
+
+def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray) -> DataFrame:
     """Postings of the rarest shingles, packed per task of the index."""
+    parts = len(labels)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, rare = WordHashes(), frequency.value
@@ -132,7 +143,7 @@ def _post(texts: DataFrame, width: int, t: float, frequency, parts: int) -> Data
                 docs, local = np.unique(os, return_inverse=True)
                 rows.append(
                     (
-                        int(p), hs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), local.astype("<u2").tobytes(),
+                        int(labels[p]), hs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), local.astype("<u2").tobytes(),
                         np.minimum(ps, 65535).astype("<u2").tobytes(), fp[docs].tobytes(), n[docs].astype("<u4").tobytes(),
                     )
                 )
@@ -315,7 +326,7 @@ def near_duplicates(texts: DataFrame, id: str, text: str, threshold: float = 0.8
     frequency = spark.sparkContext.broadcast(_frequencies(scanned))
     parts = max(spark.sparkContext.defaultParallelism, int(total * (1 - threshold) / POSTINGS_A_TASK) + 1)
     met = (
-        _post(source, width, threshold, frequency, parts)
+        _post(source, width, threshold, frequency, _labels(spark, parts))
         .repartition(parts, "part")
         .mapInPandas(_meet(threshold), "a long, b long, na int, nb int, times int")
         .groupBy("a", "b")
