@@ -38,7 +38,7 @@ RERANKED = 64
 #: Rows of a file compared at once.
 BLOCK = 256
 #: Vectors that one task of the index holds, about.
-ROWS_A_TASK = 100_000
+ROWS_A_TASK = 30_000
 
 
 def pivots_for(rows: int, density: float = 2.6) -> int:
