@@ -4,8 +4,8 @@ Familiar words of a language are those that occur in at least a given share of
 its documents; the frequencies are counted over the whole corpus. A document's
 difficulty is a linear formula of the shares of its words outside the lists for
 several such cuts, of the logarithm of its average sentence length, and of their
-products. The weights are fitted to labelled documents (at most MAX_LABELS, the
-only bounded sample here) with a ridge penalty that lets languages differ.
+products. The weights are fitted to labelled documents (about MAX_LABELS at most,
+the only bounded sample here) with a ridge penalty that lets languages differ.
 
 Only prose counts: headings, list items, tables, code, lines without a sentence
 end and comma enumerations are set aside, and so are words with digits.
@@ -28,7 +28,7 @@ from weft.plans.storage import materialize
 #: Shares of a language's documents that a familiar word occurs in.
 CUTS = (0.01, 0.05, 0.08, 0.1, 0.15, 0.18, 0.2, 0.22, 0.24, 0.26, 0.3, 0.35, 0.4, 0.5)
 LEVELS = 5
-#: Labelled documents that the formula is fitted to: those with the least hash.
+#: Labelled documents that the formula is fitted to, about: those with the least hashes.
 MAX_LABELS = 20_000
 #: Languages with at least this share of the labelled-language documents have lists of their own; so there are at most 1 / LEAST_LANGUAGE.
 LEAST_LANGUAGE = 0.002
@@ -109,7 +109,11 @@ def familiar_words(docs: DataFrame) -> Lists:
         words = counts
     limits = counts.sparkSession.createDataFrame([(k, int(v)) for k, v in chosen.items()], "lang string, docs long")
     words = words.where("word <> ''").join(F.broadcast(limits), "lang").where(F.col("df") >= CUTS[0] / 4 * F.col("docs"))
-    rows = words.orderBy(F.desc(F.col("df") / F.col("docs")), "lang", "word").limit(MAX_WORDS * len(chosen)).collect()
+    words = materialize(words.select("lang", "word", "df", (F.col("df") / F.col("docs")).alias("share")), "level-lists")
+    most = MAX_WORDS * len(chosen)
+    if words.count() > most:  # only in a corpus of very long documents
+        words = words.orderBy(F.desc("share"), "lang", "word").limit(most)
+    rows = words.collect()
     languages = sorted(chosen)
     index = {w: i for i, w in enumerate(sorted({r["word"] for r in rows}))}
     df = np.zeros((len(languages), len(index)))
@@ -195,17 +199,19 @@ def reading_levels(docs: DataFrame, labels: DataFrame, id: str = "doc_id") -> Da
     docs = docs.select(id, "text", F.col("lang")).where(F.col(id).isNotNull() & (F.col("text") != ""))
     lists = familiar_words(docs)
     found = materialize(measured(docs, lists, id).dropDuplicates([id]), "level-measures")
-    formula = fit(labelled_rows(found, labels, id).toPandas(), lists.languages)
+    formula = fit(labelled_rows(found, labels, id).toPandas().sort_values(id), lists.languages)
     return scored(found, formula, id)
 
 
 def labelled_rows(found: DataFrame, labels: DataFrame, id: str) -> DataFrame:
-    """At most MAX_LABELS measured documents with the mean of their readers' levels."""
+    """About MAX_LABELS measured documents, or all if there are no more, with the mean of their readers' levels."""
     said = labels.select(id, "rater", F.col("reading_level").cast("double").alias("level")).where(
         F.col(id).isNotNull() & F.col("level").between(1, LEVELS)
     )
     said = said.distinct().groupBy(id).agg(F.avg("level").alias("level"))
-    return found.join(said, id).orderBy(F.xxhash64(id), id).limit(MAX_LABELS).select(id, "lang", "sentence_length", "outside", "level")
+    both = materialize(found.join(said, id).select(id, "lang", "sentence_length", "outside", "level"), "level-labelled")
+    within = min(1.0, MAX_LABELS / max(1, both.count()))
+    return both.where(F.pmod(F.xxhash64(id), F.lit(1 << 30)) < int(within * (1 << 30)) + 1)
 
 
 def scored(found: DataFrame, formula: Formula | None, id: str) -> DataFrame:

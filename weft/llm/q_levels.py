@@ -31,7 +31,7 @@ def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text <> ''")
     lists = familiar_words(docs)
     found = materialize(measured(docs, lists, "doc_id"), "level-measures")
-    rows: pd.DataFrame = labelled_rows(found, table(spark, d, "level_label"), "doc_id").toPandas()
+    rows: pd.DataFrame = labelled_rows(found, table(spark, d, "level_label"), "doc_id").toPandas().sort_values("doc_id")
     held = rows["doc_id"] % 2 == 1
     formula = fit(rows[~held], lists.languages)
     said = spark.createDataFrame(rows[held][["doc_id", "level"]].rename(columns={"level": "said"}), "doc_id long, said double")
