@@ -1,5 +1,9 @@
 """General word knowledge that the operators take as parameters: aliases of canonical entries, short forms, nicknames."""
 
+from __future__ import annotations
+
+from dataclasses import dataclass
+
 #: What people write for the canonical entity types and relation predicates. An entry of canon stands for itself.
 ALIASES = {
     "type": {
@@ -96,3 +100,19 @@ EVENT_KINDS = {
     "symposium": ["symp"], "festival": ["fest"], "summit": ["smt"], "conference": ["conf"], "assembly": ["assy"],
     "congress": [], "workshop": [], "fair": [], "forum": [],
 }
+
+
+@dataclass(frozen=True)
+class NameWords:
+    """What :func:`weft.llm.names.link_names` knows about the words of names."""
+
+    titles: frozenset[str]
+    legal: frozenset[str]
+    org_kinds: dict[str, list[str]]
+    org_fields: frozenset[str]
+    place_kinds: dict[str, list[str]]
+    event_kinds: dict[str, list[str]]
+    nicknames: dict[str, str]
+
+
+ENGLISH = NameWords(frozenset(TITLES), frozenset(LEGAL), ORG_KINDS, frozenset(ORG_FIELDS), PLACE_KINDS, EVENT_KINDS, NICKNAMES)
