@@ -245,6 +245,29 @@ select x || k p, n triples from o, (
   union all select 'subject', count(*) from r union all select 'predicate', count(*) from r union all select 'object', count(*) from r
   union all select 'evidencedBy', count(*) from r union all select 'confidence', count(confidence) from r) where n > 0
 union all select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', (select count(*) from live) + (select count(*) from t) + (select count(distinct slug) from gt) + (select count(distinct slug) from e) + (select count(*) from r)""",
+    "vacuum_live": f"""
+with {_BASE}, {_T}, {_M}, live as (select * from d where vacuumed = 0), old as (select docid from live where superseded_by is not null),
+oc as (select chunk_id from t where doc_id in (select docid from old)),
+g as (select distinct chunk_id, tag, {_sql_slug('tag')} slug from (select chunk_id, unnest(tags) tag from chunk_triples)), gt as (select * from g where slug <> ''),
+e as (select distinct {_sql_slug('name')} slug, name, type from entity_ref where {_sql_slug('name')} <> ''),
+r as (select * from {_R} where s <> '' and o <> '' and chunk_id not in (select chunk_id from oc)),
+ld as (select * from live where superseded_by is null), lt as (select * from t where chunk_id not in (select chunk_id from oc)), o as (select 'kb://ontology#' x)
+select x || k p, n triples from o, (
+  select 'checksum' k, count(*) n from ld union all select 'bytes', count(bytes) from ld union all select 'mime', count(mime) from ld
+  union all select 'ingestedAt', count(ingested_at) from ld
+  union all select 'locatedAt', count(*) from p where docid not in (select docid from old)
+  union all select 'hasChunk', count(*) from c where ordinal > 0 and docid not in (select docid from old)
+  union all select 'partOf', count(*) from lt union all select 'ordinal', count(*) from lt
+  union all select 'byteStart', count(byte_start) from (select distinct chunk_id, byte_start from chunk_triples where chunk_id not in (select chunk_id from oc))
+  union all select 'byteEnd', count(byte_end) from (select distinct chunk_id, byte_end from chunk_triples where chunk_id not in (select chunk_id from oc))
+  union all select 'text', count(text) from lt union all select 'summary', count(nullif(summary, '')) from lt
+  union all select 'extractionFailed', count(*) from lt where failed union all select 'nextChunk', count(*) from lt where has_next
+  union all select 'taggedWith', count(distinct (chunk_id, slug)) from gt where chunk_id not in (select chunk_id from oc)
+  union all select 'label', (select count(distinct (slug, tag)) from gt) + (select count(distinct (slug, name)) from e)
+  union all select 'mentions', count(*) from m where chunk_id not in (select chunk_id from oc)
+  union all select 'entityType', count(distinct (slug, type)) from e where type is not null
+  union all select 'subject', count(*) from r union all select 'predicate', count(*) from r union all select 'object', count(*) from r
+  union all select 'evidencedBy', count(*) from r union all select 'confidence', count(confidence) from r) where n > 0""",
     "entity_df": f"with {_M} select slug, count(*) n from m group by 1",
     "hub_entities": f"with {_T}, {_M} select slug, count(*) n from m group by 1 having count(*) > greatest(2.0, 0.05 * (select count(*) from t where ordinal > 0))",
     "comention": f"""
