@@ -1,64 +1,9 @@
-"""General word knowledge that the operators take as parameters: aliases of canonical entries, short forms, nicknames."""
+"""General word knowledge that the operators take as parameters: short forms, nicknames."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: What people write for the canonical entity types and relation predicates. An entry of canon stands for itself.
-ALIASES = {
-    "type": {
-        "person": "people persona persons man woman human individual staff pers",
-        "org": "orgs organisation organization company corporation corp firm agency enterprise institution",
-        "place": "places location loc geolocation site city town country region",
-        "concept": "concepts idea topic theme notion subject abstraction",
-        "artifact": "artifacts artefact product tool device machine object software",
-        "event": "events happening occurrence incident meeting conference launch ceremony",
-    },
-    "predicate": {
-        "works_for": "works at, employed by, employee of, on staff of, is employed by",
-        "employs": "hires, is employer of, has staff member, employer of",
-        "leads": "heads, directs, is head of, in charge of, head of",
-        "led_by": "headed by, directed by, under the direction of",
-        "acquired": "bought, purchased, took over",
-        "acquired_by": "bought by, purchased by, taken over by",
-        "located_in": "based in, situated in, lies in, is in the area of",
-        "contains": "includes, comprises, has within",
-        "part_of": "piece of, component of, member of",
-        "founded": "set up, established, created the company",
-        "founded_by": "set up by, established by, created by founder",
-        "owns": "possesses, holds title to, is owner of, owner of",
-        "owned_by": "belongs to, property of, in possession of, possessed by, belongs as property to",
-        "published": "issued, released, brought out",
-        "authored_by": "written by, penned by, has author",
-        "wrote": "penned, authored, is author of, author of",
-        "attended": "took part in, participated in, was present at",
-        "hosted": "organised, held the event, was host of, host of",
-        "depends_on": "needs, requires, relies on",
-        "replaces": "supersedes, substitutes for, takes the place of",
-        "replaced_by": "superseded by, substituted by, gave way to",
-        "supplies": "delivers to, provides goods to, is supplier of, supplier of",
-        "funded_by": "financed by, sponsored by, paid for by",
-        "funds": "finances, sponsors, pays for",
-        "manufactures": "makes, produces, is maker of, maker of",
-        "uses": "applies, makes use of, employs as tool",
-        "measures": "gauges, determines the value of",
-        "causes": "leads to, results in, brings about",
-        "caused_by": "due to, result of, brought about by",
-        "married_to": "husband of, wife of, spouse of",
-        "parent_of": "father of, mother of",
-        "child_of": "son of, daughter of",
-        "competes_with": "rival of, in competition with",
-        "partners_with": "cooperates with, collaborates with, in partnership with",
-        "cites": "quotes, refers to, gives as source",
-        "describes": "depicts, explains, gives an account of",
-        "approved": "consented to, signed off on, gave permission for",
-        "inspected": "examined, audited, carried out a check of",
-    },
-}
-
-#: Words that people put before a value without changing it.
-LEADS = {"type": ["type"], "predicate": ["rel", "has"]}
-
 #: Short forms of given names.
 NICKNAMES = {
     "abby": "abigail", "alex": "alexander", "bart": "bartholomew", "becky": "rebecca", "bella": "isabella",
