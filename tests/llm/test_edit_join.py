@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.edit_join import banded_distance, similar_pairs, similar_to
+from weft.llm.edit_join import SegmentIndex, banded_distance, similar_pairs, similar_to
 
 
 def full_distance(a, b):
@@ -46,7 +46,7 @@ def words(seed, n):
 
 def test_no_pair_is_lost(spark):
     for k in (1, 2):
-        all_words = [w for w in words(k, 60) if len(w) >= 2 * k + 1]
+        all_words = [w for w in words(k, 60) if len(w) > k]
         df = spark.createDataFrame([("x", w) for w in all_words] * 2 + [(None, "abcde"), ("x", None)], "ns string, key string")
         found = {(r.key_a, r.key_b): r.edits for r in similar_pairs(df, k).collect()}
         wanted = {(a, b): d for a in all_words for b in all_words if a < b and (d := full_distance(a, b)) <= k}
@@ -66,6 +66,13 @@ def test_against_a_reference(spark):
     assert found == {(a, b): d for a in left for b in right if (d := full_distance(a, b)) <= 2}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), max_size=12), st.text("abc", max_size=9), st.integers(0, 2))
+def test_vocabulary(words, word, k):
+    wanted = {(d, w) for w in words if len(w) > k and (d := full_distance(word, w)) <= k}
+    assert set(SegmentIndex(words).near(word, k)) == wanted
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "ns string, key string")
     assert similar_pairs(none).count() == 0
