@@ -37,6 +37,17 @@ def test_recall_and_order(spark):
     assert len(got & wanted) / len(wanted) >= 0.9
 
 
+def test_long_files_are_cut(spark):
+    x = data(400, 9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    whole, cut = (
+        {(r.id, r.other) for r in V.neighbours(*V.most_similar(df, DIM, 5, 0.9, reranked=400, file_rows=rows), 5).collect()} for rows in (10**9, 15)
+    )
+    assert whole == cut and len(cut & brute(x, 5, 0.9)) >= 0.9 * len(brute(x, 5, 0.9))
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    assert V.file_parts(units, units[:8], 3, 400, 15).max() > 2 and set(V.file_parts(units, units[:8], 3, 400, 10**9)) == {1}
+
+
 def test_copies_ties_and_dirt(spark):
     x = data(40, 3)
     rows = [(i, v.tolist(), 1, 1) for i, v in enumerate(x)]

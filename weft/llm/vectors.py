@@ -4,8 +4,10 @@ A vector is represented by its PREFIX nearest pivots in order of nearness.
 Pivots are a bounded sample of the vectors; every vector is posted in the
 inverted files of its first ``posted`` pivots. Within a file vectors are ranked
 for each other by the footrule distance of their pivot orders (a pivot beyond
-the prefix counts as place PREFIX), the best are reranked by their exact
-cosine, and the results of all files are merged.
+the prefix counts as place PREFIX), exact cosines are computed for the best of
+them only, ties at the last place included, and the results of all files are
+merged. A file that a sample shows to be long is cut into parts, and each pair of
+parts is a file of its own.
 
 The footrule distance of two prefixes is a constant less twice the sum of
 min(PREFIX - place_a, PREFIX - place_b) over common pivots. That sum is a count
@@ -29,16 +31,22 @@ from pyspark.sql.window import Window
 from weft.plans.lookup import lookup
 from weft.plans.storage import materialize
 
-PREFIX = 6
+PREFIX = 8
 WORDS = 2
-#: Most pivots: a bound of the sample and of what is broadcast (16 MB at 64 dimensions).
-MAX_PIVOTS = 65_536
+#: Most pivots: a bound of the sample and of what is broadcast (64 MB at 64 dimensions); enough for 10^10 vectors.
+MAX_PIVOTS = 262_144
 #: Best by footrule that are reranked, in each inverted file.
 RERANKED = 64
-#: Rows of a file compared at once.
+#: Rows of a file compared at once, and pairs whose cosines are computed at once.
 BLOCK = 256
+PAIRS = 1 << 15
+DENSE = 3
 #: Vectors that one task of the index holds, about.
 ROWS_A_TASK = 30_000
+#: Vectors of a file, or of a part of a long one, about.
+FILE_ROWS = 20_000
+#: Sampled vectors that the lengths of the files are estimated from, and the most parts that a file is cut into.
+MEASURED, MAX_PARTS = 20_000, 1000
 
 
 def pivots_for(rows: int, density: float = 2.6) -> int:
@@ -91,8 +99,21 @@ def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarra
     return out
 
 
-def _index(rows: DataFrame, dim: int, pivots, posted: int) -> DataFrame:
+def file_parts(units: np.ndarray, pivots: np.ndarray, posted: int, count: int, file_rows: int) -> np.ndarray:
+    """Parts of every pivot's file, from the share of a sample that is posted there."""
+    parts = np.ones(len(pivots), dtype=np.int64)
+    if count * posted > file_rows and len(units):
+        files = nearest_pivots(units[:MEASURED], pivots, posted)
+        held = np.bincount(files.ravel(), minlength=len(pivots)) / min(len(units), MEASURED) * count
+        parts = np.clip(np.ceil(held / file_rows), 1, MAX_PARTS).astype(np.int64)
+    return parts
+
+
+def _index(rows: DataFrame, dim: int, pivots, parts, posted: int) -> DataFrame:
+    """file: the pivot, and for a file in parts also the pair of parts that meet."""
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = parts.value
         for batch in batches:
             _, x, unit = _valid(batch, dim)
             if not len(x):
@@ -101,11 +122,17 @@ def _index(rows: DataFrame, dim: int, pivots, posted: int) -> DataFrame:
             x, unit = x[first], unit[first]
             prefix = nearest_pivots(unit, pivots.value, PREFIX)
             for j in range(min(posted, prefix.shape[1])):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(prefix[:, j]), pa.array(names), _binary(x), _binary(prefix)], ["file", "class", "vector", "prefix"]
-                )
+                into = cut[prefix[:, j]]
+                mine = (names.view(np.uint64) % into.astype(np.uint64)).astype(np.int64)
+                for other in range(int(into.max())):
+                    some = np.flatnonzero(into > other)
+                    cell = np.minimum(mine, other) * MAX_PARTS + np.maximum(mine, other)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((prefix[:, j].astype(np.int64) * MAX_PARTS**2 + cell)[some]), pa.array(names[some]), _binary(x[some]), _binary(prefix[some])],
+                        ["file", "class", "vector", "prefix"],
+                    )
 
-    return rows.mapInArrow(post, "file int, class long, vector binary, prefix binary")
+    return rows.mapInArrow(post, "file long, class long, vector binary, prefix binary")
 
 
 def footrule_bits(prefix: np.ndarray) -> np.ndarray:
@@ -136,31 +163,31 @@ def _rank(k: int, least: float, dim: int, reranked: int, share: float):
         best, tried = min(k + 3, n - 1), max(reranked, int(share * n))
         for at in range(0, n, block):
             rows = slice(at, min(at + block, n))
-            near = unit[rows] @ unit.T
-            near[np.arange(near.shape[0]), np.arange(rows.start, rows.stop)] = -2
+            size = rows.stop - at
+            common = np.zeros((size, n), dtype=np.uint8)
+            for t in range(bits.shape[1]):
+                for w in range(WORDS):
+                    common += np.bitwise_count(bits[rows, t, w][:, None] & bits[None, :, t, w])
+            common[np.arange(size), np.arange(rows.start, rows.stop)] = 0
+            least_common = np.ones(size, dtype=np.uint8)  # vectors of one file have its pivot in common
             if n > tried + 1:
-                common = np.zeros(near.shape, dtype=np.uint8)
-                for t in range(bits.shape[1]):
-                    for w in range(WORDS):
-                        common += np.bitwise_count(bits[rows, t, w][:, None] & bits[None, :, t, w])
-                last = np.partition(common, n - tried - 1, axis=1)[:, n - tried - 1]
-                near[common < last[:, None]] = -2
-            if least > -1:
-                i, j = np.nonzero(near >= least - 1e-5)
-                if len(i) > near.shape[0] * best:
-                    i, j = _best(near, best)
-            else:
-                i, j = _best(near, best)
-            good = near[i, j] > -1.5
+                least_common = np.maximum(1, np.partition(common, n - tried, axis=1)[:, n - tried])
+            i, j = np.nonzero(common >= least_common[:, None])
+            cosine = np.empty(len(i), dtype=np.float32)
+            if len(i) * DENSE > size * n:  # so many are reranked that one product of the whole block costs less
+                cosine[:] = (unit[rows] @ unit.T)[i, j]
+            for c in range(0, len(i) if len(i) * DENSE <= size * n else 0, PAIRS):
+                cosine[c : c + PAIRS] = np.einsum("ij,ij->i", unit[i[c : c + PAIRS] + at], unit[j[c : c + PAIRS]])
+            good = cosine >= least - 1e-5
+            i, j, cosine = i[good], j[good], cosine[good]
+            order = np.lexsort((-cosine, i))
+            i, j = i[order], j[order]
+            good = np.arange(len(i)) - np.searchsorted(i, i) < best
             i, j = i[good], j[good]
             cosine = np.einsum("ij,ij->i", wide[i + at], wide[j])
             good = cosine >= least
             yield names[i + at][good], names[j][good], cosine[good]
 
-    def _best(near: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
-        j = np.argpartition(-near, best - 1, axis=1)[:, :best]
-        return np.repeat(np.arange(len(near)), best), j.ravel()
-
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.float32), _matrix(b.column(3), np.int32)) for b in batches if b.num_rows]
         if not got:
@@ -185,14 +212,16 @@ def _matrix(column: pa.Array, kind) -> np.ndarray:
 
 
 def most_similar(
-    rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, posted: int = 3, reranked: int = RERANKED, share: float = 0.0, density: float = 2.6
+    rows: DataFrame, dim: int, k: int = 5, least: float = -1.0, posted: int = 3, reranked: int = RERANKED, share: float = 0.0, density: float = 2.6,
+    file_rows: int = FILE_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class; lists: class, near array<struct<id, cosine>>).
 
     posted: files that a vector is posted in. reranked, share: how many of a file,
     or which share of it if that is more, are reranked. density: pivots per
-    square root of the rows; fewer pivots make longer files. The defaults suit
-    neighbours of high cosine; distant ones share fewer pivots.
+    square root of the rows; fewer pivots make longer files. file_rows: vectors
+    of a file beyond which it is cut into parts. The defaults suit neighbours of
+    high cosine; distant ones share fewer pivots.
 
     rows: id long, vector array<float>. Vectors of one direction are one class.
     ``near`` has, best first, up to k + 1 ids for the class with a cosine of at
@@ -209,14 +238,16 @@ def most_similar(
     rows = rows.select("id", F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & (F.size("vector") == dim))
     count = rows.count()
     wanted = pivots_for(count, density)
-    # a sample by hash, about three times the pivots: no task sends more than its part of it
-    within = min(1.0, 3 * wanted / max(count, 1))
+    # a sample by hash, somewhat more than the pivots: no task sends more than its part of it
+    within = min(1.0, (1.2 * wanted + 100) / max(count, 1))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(within * (1 << 30)) + 1).dropDuplicates(["id"])
-    _, _, pivots = _valid(pa.RecordBatch.from_pylist([{"id": r["id"], "vector": r["vector"]} for r in sample.collect()], schema=pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32()))])), dim)
-    pivots = np.unique(pivots.astype(np.float32), axis=0)
+    sampled = sample.toArrow().cast(pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float32()))])).combine_chunks().to_batches()
+    units = _valid(sampled[0], dim)[2].astype(np.float32) if sampled else np.zeros((0, dim), np.float32)
+    pivots = np.unique(units, axis=0)
     pivots = pivots[np.random.default_rng(0).permutation(len(pivots))[:wanted]]
     if not len(pivots):
         pivots = np.eye(1, dim, dtype=np.float32)
+    parts = file_parts(units, pivots, posted, count, file_rows)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +258,7 @@ def most_similar(
     members = materialize(members, "vectors-members")
     tasks = max(spark.sparkContext.defaultParallelism, posted * count // ROWS_A_TASK)
     met = (
-        _index(rows, dim, spark.sparkContext.broadcast(pivots), posted)
+        _index(rows, dim, spark.sparkContext.broadcast(pivots), spark.sparkContext.broadcast(parts), posted)
         .repartition(tasks, "file")
         .mapInArrow(_rank(k, least, dim, reranked, share), "a long, b long, cosine double")
     )
