@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from weft.llm import near_duplicates as N
+from weft.llm.q_near import written_pairs
 from weft.llm.shingles import WORD
 
 
@@ -65,6 +66,31 @@ def test_long_text_and_empty(spark):
     assert members.count() == 0 and pairs.count() == 0
 
 
+def test_hot_shingles_are_dealt_into_groups(spark):
+    rng = random.Random(11)
+    boiler = " ".join(f"b{i}" for i in range(40))
+    texts = [boiler + " " + " ".join(rng.choice("xyzuvw") + str(rng.randrange(50)) for _ in range(rng.choice((4, 12, 30)))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = []
+    for hot in (N.HOT, 7):
+        members, pairs = N.near_duplicates(df, "id", "text", 0.6, 3, hot=hot)
+        found.append({(r.a, r.b, round(r.similarity, 9)) for r in pairs.collect()})
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_copies(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i:03d}", " ".join(words)) for i in range(300)] + [("other", " ".join(words + ["end"])), ("far", "nothing like it at all")]
+    stages = {}
+    near = N.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", 0.6, 3, stages=stages)
+    ids = [r[0] for r in rows[:300]]
+    assert {k: v.count() for k, v in stages.items()} == {"met": 1, "ring": 1, "similar": 1}
+    star = {(r.chunk_a, r.chunk_b) for r in written_pairs(*near, 200).collect()}
+    assert star == {("c000", x) for x in ids[1:]} | {("c000", "other")}
+    whole = {(r.chunk_a, r.chunk_b) for r in written_pairs(*near, 300).collect()}
+    assert whole == {(a, b) for a in ids for b in ids if a < b} | {(a, "other") for a in ids}
+
+
 def test_ring_is_exact_on_sums():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**32, (500, N.SEGMENTS), dtype=np.uint64).astype(np.uint32)

@@ -9,20 +9,26 @@ H = (1 - t) / (1 + t) * (|A| + |B|) shingles. Four steps, all exact:
    shingles; its size is fixed, a collision only makes a shingle look commoner.
 2. Index: every set posts its rarest (1 - t) * |A| + MEET shingles. Similar
    sets meet at least MEET times there, and early enough in both (positions).
-   Postings travel packed, and pairs are counted, not listed per shingle.
+   Postings travel packed, and pairs are counted, not listed per shingle. The
+   sets of a shingle that more than HOT texts have are dealt into groups, and
+   each pair of groups meets in a place of its own.
 3. Pigeonring: parity words give a lower bound of the difference in each
    segment. If the differences sum to at most H, some segment starts a chain
    around the ring in which every prefix of l segments sums to at most
-   l * H / SEGMENTS; pairs without such a chain are dropped.
+   l * H / SEGMENTS; pairs without such a chain are dropped as soon as no start
+   is left. Followed all around the ring this drops exactly the pairs whose
+   differences sum to more than H, most of them after a few segments.
 4. Full Hamming check of the remaining pairs on their whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +43,13 @@ BLOCKS = 64
 MEET = 3
 #: Postings that one task of the index takes.
 POSTINGS_A_TASK = 1_000_000
-#: Bits of the filter that keeps texts without a candidate pair from being read again; fixed, so it is small at any scale.
-FILTER_BITS = 1 << 25
+#: A shingle that so many texts have, about, is compared in several places.
+HOT = 20_000
+MAX_GROUPS = 1000
+#: A posting's place in 14 bits (an earlier place than the true one only makes more candidates) and its side of a pair of groups in 2.
+PLACE_BITS, MOST_PLACE, BOTH = 14, (1 << 14) - 1, 2
+#: The filter that keeps texts without a candidate pair from being read again has this many bits a candidate, between these bounds (128 KB to 128 MB).
+FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 FILTER_TASKS = 8
 EPS = 1e-9
 
@@ -68,15 +79,16 @@ def _scan(texts: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "id": batch["id"].to_numpy()[some], "fp": fingerprints(h, n).view(np.int64)[some], "n": n[some].astype(np.int32),
-                    "ring": [r.tobytes() for r in rings[some]], "block": np.int32(-1), "counts": None,
+                    "ring": [r.tobytes() for r in rings[some]], "block": np.int32(-1), "counts": None, "task": None,
                 }
             )
+        task = TaskContext.get().partitionId()
         for b, part in enumerate(np.split(counts, BLOCKS)):
             if part.any():
                 kind = np.min_scalar_type(int(part.max()))
-                yield pd.DataFrame({"id": [None], "fp": [0], "n": [0], "ring": [None], "block": [b], "counts": [part.astype(kind).tobytes()]})
+                yield pd.DataFrame({"id": [None], "fp": [0], "n": [0], "ring": [None], "block": [b], "counts": [part.astype(kind).tobytes()], "task": [task]})
 
-    return texts.mapInPandas(scan, "id string, fp long, n int, ring binary, block int, counts binary")
+    return texts.mapInPandas(scan, "id string, fp long, n int, ring binary, block int, counts binary, task int")
 
 
 def _add_counts(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
@@ -87,9 +99,11 @@ def _add_counts(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
 
-def _frequencies(scanned: DataFrame) -> np.ndarray:
-    """The counters of all texts: COUNTERS numbers at any scale."""
-    blocks = scanned.where("block >= 0").select("block", "counts").groupBy("block").applyInPandas(_add_counts, "block int, counts binary")
+def _frequencies(scanned: DataFrame, tasks: int) -> np.ndarray:
+    """The counters of all texts: COUNTERS numbers at any scale, added in two rounds of about sqrt(tasks) tables each."""
+    fan = math.isqrt(tasks) + 1
+    some = scanned.where("block >= 0").groupBy("block", F.pmod("task", F.lit(fan))).applyInPandas(_add_counts, "block int, counts binary")
+    blocks = some.groupBy("block").applyInPandas(_add_counts, "block int, counts binary")
     out = np.zeros(COUNTERS, dtype=np.int64)
     size = COUNTERS // BLOCKS
     for r in blocks.toLocalIterator():
@@ -111,14 +125,27 @@ def _labels(spark: SparkSession, parts: int) -> np.ndarray:
     return labels
 
 
-def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray) -> DataFrame:
+def _dealt(h, owner, at, fp, groups):
+    """Postings of hot shingles once for each pair of groups that theirs is in, with the side of the pair they stand on."""
+    out = [(h[groups == 1], owner[groups == 1], at[groups == 1], np.full(int((groups == 1).sum()), BOTH))]
+    mine = (mixed(fp.view(np.uint64)) % groups.astype(np.uint64)).astype(np.int64)
+    for other in range(int(groups.max())):
+        some = np.flatnonzero((groups > 1) & (groups > other))
+        a, b = np.minimum(mine[some], other), np.maximum(mine[some], other)
+        cell = (a * MAX_GROUPS + b + 1).astype(np.uint64)
+        out.append((mixed(h[some] + cell), owner[some], at[some], np.where(a == b, BOTH, (mine[some] == b).astype(np.int64))))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray, hot: int) -> DataFrame:
     """Postings of the rarest shingles, packed per task of the index."""
     parts = len(labels)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, rare = WordHashes(), frequency.value
-        for batch in batches:
-            h, owner, n = shingle_sets(batch["text"].tolist(), width, known)
+        whole = (batch["text"].tolist() for batch in batches)
+        for texts in (x[at : at + 65_536] for x in whole for at in range(0, len(x), 65_536)):  # sets are numbered in 16 bits
+            h, owner, n = shingle_sets(texts, width, known)
             if not len(h):
                 continue
             fp = fingerprints(h, n)
@@ -133,7 +160,12 @@ def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray)
             n = np.bincount(owner, minlength=len(fp))
             at = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
             use = at < _prefix_sizes(n, t)[owner]
-            h, owner, at = mixed(h[use]), owner[use], at[use]
+            h, owner, at = h[use], owner[use], at[use]
+            groups = np.minimum(rare[(h >> np.uint64(44)).astype(np.int64)] // hot + 1, MAX_GROUPS).astype(np.int64)
+            at, h, side = np.minimum(at, MOST_PLACE), mixed(h), np.full(len(h), BOTH)
+            if (groups > 1).any():
+                h, owner, at, side = _dealt(h, owner, at, fp[owner], groups)
+            at = at | (side << PLACE_BITS)
             part = (h % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((owner, part))
             h, owner, at, part = h[order], owner[order], at[order], part[order]
@@ -144,7 +176,7 @@ def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray)
                 rows.append(
                     (
                         int(labels[p]), hs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), local.astype("<u2").tobytes(),
-                        np.minimum(ps, 65535).astype("<u2").tobytes(), fp[docs].tobytes(), n[docs].astype("<u4").tobytes(),
+                        ps.astype("<u2").tobytes(), fp[docs].tobytes(), n[docs].astype("<u4").tobytes(),
                     )
                 )
             yield pd.DataFrame(rows, columns=["part", "keys", "docs", "places", "fps", "sizes"])
@@ -181,9 +213,10 @@ def _meet(t: float):
         del got
         order = np.lexsort((fp, key))
         key, fp, n, at = key[order], fp[order], n[order].astype(np.int64), at[order].astype(np.int64)
+        side, at = at >> PLACE_BITS, at & MOST_PLACE
         one = np.ones(len(key), dtype=bool)
         one[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])  # copies post the same
-        key, fp, n, at = key[one], fp[one], n[one], at[one]
+        key, fp, n, at, side = key[one], fp[one], n[one], at[one], side[one]
         held, kept = [], 0
         live, step = np.arange(len(key)), 1
         while len(live):
@@ -193,6 +226,7 @@ def _meet(t: float):
                 y = x + step
                 need = np.ceil(share * (n[x] + n[y]) - EPS)
                 good = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(MEET, need) - 1 >= need
+                good &= (side[x] != side[y]) | (side[x] == BOTH)
                 x, y = x[good], y[good]
                 if len(x):
                     held.append((fp[x], fp[y], n[x], n[y]))  # sorted by fp within a key
@@ -234,31 +268,33 @@ def _pigeonring(t: float):
     return prune
 
 
-def _filter_places(x: np.ndarray) -> np.ndarray:
+def _filter_places(x: np.ndarray, bits: int) -> np.ndarray:
     y = mixed(x.view(np.uint64) if x.dtype == np.int64 else x)
-    return np.concatenate((y % np.uint64(FILTER_BITS), (y >> np.uint64(32)) % np.uint64(FILTER_BITS))).astype(np.int64)
+    return np.concatenate((y % np.uint64(bits), (y >> np.uint64(32)) % np.uint64(bits))).astype(np.int64)
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of the column ``id`` in FILTER_BITS bits, built on the executors."""
+    """Bloom filter of the column ``id``, built on the executors; its size grows with their number up to MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * ids.count()).bit_length()))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        packed = np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
-            bits[_filter_places(batch["id"].to_numpy())] = True
-        packed = np.packbits(bits)
+            at = _filter_places(batch["id"].to_numpy(), bits)
+            np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         for b, part in enumerate(np.split(packed, BLOCKS)):
             if part.any():
                 yield pd.DataFrame({"block": [b], "bits": [part.tobytes()]})
 
+    size = bits // 8 // BLOCKS
+
     def unite(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(FILTER_BITS // 8 // BLOCKS, np.uint8)
+        out = np.zeros(size, np.uint8)
         for data in batch["bits"]:
             out |= np.frombuffer(data, np.uint8)
         return pd.DataFrame({"block": [key[0]], "bits": [out.tobytes()]})
 
-    size = FILTER_BITS // 8 // BLOCKS
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     few = ids.repartition(FILTER_TASKS)  # each of them sends a whole filter
     for r in few.mapInPandas(build, "block int, bits binary").groupBy("block").applyInPandas(unite, "block int, bits binary").toLocalIterator():
         out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -269,9 +305,10 @@ def _sets(texts: DataFrame, width: int, wanted) -> DataFrame:
     """fp and the whole set (40 bits a shingle) of the texts whose id the filter lets pass."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bits = WordHashes(), np.unpackbits(wanted.value).astype(bool)
+        known, packed = WordHashes(), wanted.value
         for batch in batches:
-            hit = bits[_filter_places(batch["hash"].to_numpy())].reshape(2, -1).all(axis=0)
+            at = _filter_places(batch["hash"].to_numpy(), 8 * len(packed))
+            hit = ((packed[at >> 3] >> (at & 7)) & 1).astype(bool).reshape(2, -1).all(axis=0)
             h, _, n = shingle_sets(batch["text"][hit].tolist(), width, known)
             if not len(h):
                 continue
@@ -305,13 +342,17 @@ def _hamming(t: float):
     return check
 
 
-def near_duplicates(texts: DataFrame, id: str, text: str, threshold: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(
+    texts: DataFrame, id: str, text: str, threshold: float = 0.8, width: int = 5, hot: int = HOT, stages: dict[str, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Classes of texts with equal shingle sets, and the pairs of similar classes.
 
     Returns (members: id string, fp long, n int; pairs: a < b, similarity), where a and b
     are the fp of two different sets of which at least ``threshold`` of the
     shingles of either are in both. Words are runs of letters and digits in lower
-    case, shingles are ``width`` consecutive words.
+    case, shingles are ``width`` consecutive words. hot: see HOT. ``stages``, if
+    given, gets the pairs that met in the index, those that the ring left, and
+    those that are similar.
 
     Defined cases: null and empty texts and those of fewer than ``width`` words
     are in no class; repeated rows give one member; an id with several texts is
@@ -322,11 +363,12 @@ def near_duplicates(texts: DataFrame, id: str, text: str, threshold: float = 0.8
     source = texts.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
     scanned = materialize(_scan(source, width), "near-scan")
     members = scanned.where("block < 0").select("id", "fp", "n").distinct()
-    total = scanned.agg(F.sum("n")).first()[0] or 0
-    frequency = spark.sparkContext.broadcast(_frequencies(scanned))
+    total, last = scanned.agg(F.sum("n"), F.max("task")).first()
+    total = total or 0
+    frequency = spark.sparkContext.broadcast(_frequencies(scanned, (last or 0) + 1))
     parts = max(spark.sparkContext.defaultParallelism, int(total * (1 - threshold) / POSTINGS_A_TASK) + 1)
     met = (
-        _post(source, width, threshold, frequency, _labels(spark, parts))
+        _post(source, width, threshold, frequency, _labels(spark, parts), hot)
         .repartition(parts, "part")
         .mapInPandas(_meet(threshold), "a long, b long, na int, nb int, times int")
         .groupBy("a", "b")
@@ -351,4 +393,7 @@ def near_duplicates(texts: DataFrame, id: str, text: str, threshold: float = 0.8
         .join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("shingles_b")), "b")
         .mapInPandas(_hamming(threshold), "a long, b long, similarity double")
     )
-    return members, materialize(pairs, "near-pairs")
+    pairs = materialize(pairs, "near-pairs")
+    if stages is not None:
+        stages |= {"met": candidates, "ring": alive, "similar": pairs}
+    return members, pairs

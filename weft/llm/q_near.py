@@ -10,32 +10,44 @@ from weft.plans.components import connected_components
 from weft.plans.storage import materialize
 from weft.sources.tables import table
 
-#: A class of exact copies up to this size is written out as all its pairs; of a larger one every member is paired with the first.
+#: A class of exact copies up to this size is written out as all its pairs; a larger one is a star: each member is paired with the first, which alone stands in pairs with other texts.
 COPIES_AS_PAIRS = 200
 
 
-def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return near_duplicates(table(spark, d, "chunk_triples"), "chunk_id", "text", threshold=0.6, width=3)
+def _near(spark: SparkSession, d: str, stages: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, d, "chunk_triples"), "chunk_id", "text", threshold=0.6, width=3, stages=stages)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    members, pairs = _near(spark, d)
+def written_pairs(members: DataFrame, pairs: DataFrame, copies_as_pairs: int = COPIES_AS_PAIRS) -> DataFrame:
+    """chunk_a < chunk_b of all similar chunks; see COPIES_AS_PAIRS for large classes of copies."""
     members = materialize(members.select("id", "fp"), "near-members")
     classes = members.groupBy("fp").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size"))
-    speak = members.join(classes, "fp").where((F.col("size") <= COPIES_AS_PAIRS) | (F.col("id") == F.col("head")))
+    speak = members.join(classes, "fp").where((F.col("size") <= copies_as_pairs) | (F.col("id") == F.col("head")))
     left = lambda df: df.select(F.col("fp").alias("a"), F.col("id").alias("x"))
     right = lambda df: df.select(F.col("fp").alias("b"), F.col("id").alias("y"))
     across = pairs.select("a", "b").join(left(speak), "a").join(right(speak), "b").select("x", "y")
     copied = classes.where("size > 1")
-    small = members.join(copied.where(F.col("size") <= COPIES_AS_PAIRS).select("fp"), "fp")
+    small = members.join(copied.where(F.col("size") <= copies_as_pairs).select("fp"), "fp")
     same = left(small).join(right(small), F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    large = members.join(copied.where(F.col("size") > COPIES_AS_PAIRS), "fp").where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y"))
+    large = members.join(copied.where(F.col("size") > copies_as_pairs), "fp").where("id <> head").select(F.col("head").alias("x"), F.col("id").alias("y"))
     return (
         across.unionByName(same).unionByName(large).where("x <> y")
         .select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b")).distinct()
     )
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return written_pairs(*_near(spark, d))
+
+
+def p5_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts that met in the index, that the ring left, and that are similar."""
+    stages: dict[str, DataFrame] = {}
+    _near(spark, d, stages)
+    met, ring, similar = (stages[x].agg(F.count(F.lit(1)).alias(x)) for x in ("met", "ring", "similar"))
+    return met.crossJoin(ring).crossJoin(similar)  # one row each
+
+
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per chunk in a group of alike chunks: its group (the least chunk id), its links to other texts, its exact copies."""
     members, pairs = _near(spark, d)
@@ -55,7 +67,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p5_found": p5_found, "p5_pruned": p5_pruned, "p5_groups": p5_groups}
 ORACLES = {
     "p5_found": """
 with said as (
