@@ -17,14 +17,14 @@ def check(text, limit, overlap):
         data[begin:end].decode(), data[start:end].decode()
         assert begin <= start < end
         assert end - begin <= max(limit, 4)
-        assert start - begin <= min(overlap, limit // 2)
+        assert start - begin <= min(overlap, limit - 4)
         if i:
             assert start == found[i - 1][2]
-            assert start - begin > min(overlap, limit // 2) - 4 or begin == found[i - 1][1] or start < overlap + 4
+            assert start - begin > min(overlap, limit - 4) - 4 or begin == found[i - 1][1] or start < overlap + 4
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXTS, st.integers(8, 60), st.integers(0, 40))
+@given(TEXTS, st.integers(8, 60), st.integers(0, 70))
 def test_pieces(text, limit, overlap):
     check(text, limit, overlap)
 

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from weft.plans.storage import materialize
 
+#: Newton steps at most; shares say how many were taken and how far the rates are from their targets after them.
 STEPS = 60
 TOLERANCE = 1e-7
 ROWS_A_SALT = 100_000
@@ -53,8 +54,8 @@ def _dual(groups: DataFrame, names: list[str], a: np.ndarray, b: float) -> tuple
     return value, grad, hess
 
 
-def solve(groups: DataFrame, names: list[str], wanted: np.ndarray, mean_x: float) -> tuple[np.ndarray, float, int]:
-    """a per source, b, and the number of Newton steps."""
+def solve(groups: DataFrame, names: list[str], wanted: np.ndarray, mean_x: float) -> tuple[np.ndarray, float, int, float]:
+    """a per source, b, the number of Newton steps, and the largest relative miss of a source's tokens."""
     d = len(names)
     target = np.append(wanted, wanted.sum() * mean_x)
     at = np.zeros(d + 1)
@@ -64,7 +65,7 @@ def solve(groups: DataFrame, names: list[str], wanted: np.ndarray, mean_x: float
     for step in range(STEPS):
         miss = grad - target
         if np.abs(miss[:d] / wanted).max() < TOLERANCE and abs(miss[d]) < TOLERANCE * max(1.0, abs(target[d]), wanted.sum()):
-            return at[:d], at[d], step
+            return at[:d], at[d], step, float(np.abs(miss[:d] / wanted).max())
         move = -np.linalg.solve(hess + 1e-12 * np.trace(hess) * np.eye(d + 1), miss)
         scale, slope = min(1.0, 5.0 / max(np.abs(move).max(), 1e-12)), miss @ move
         while True:
@@ -74,7 +75,7 @@ def solve(groups: DataFrame, names: list[str], wanted: np.ndarray, mean_x: float
                 break
             scale /= 2
         at, (value, grad, hess) = new, found
-    return at[:d], at[d], STEPS
+    return at[:d], at[d], STEPS, float(np.abs((grad - target)[:d] / wanted).max())
 
 
 def _corrected(rounded: DataFrame, wanted: dict[str, float]) -> DataFrame:
@@ -102,7 +103,8 @@ def mix(items: DataFrame, targets: DataFrame, id: str = "doc_id") -> tuple[DataF
     items: id, source, tokens. targets: source, weight, max_repeats. The mix is
     as large as the caps allow with exact shares. Target sources without tokens
     cannot give anything; the others share their weight in proportion, which
-    ``wanted_share`` shows. Sources that are no target are not used.
+    ``wanted_share`` shows. Sources that are no target are not used. ``rate_miss``
+    is what the rates miss a source's tokens by, relatively, before rounding.
 
     Defined cases: repeated rows count once, null ids and sources are left out,
     items without tokens are never chosen, null or non-positive weights and caps
@@ -130,9 +132,9 @@ def mix(items: DataFrame, targets: DataFrame, id: str = "doc_id") -> tuple[DataF
     groups = items.where(F.col("source").isin(free)).groupBy("source", "cap", F.col("tokens").alias("n")).agg((F.sum("tokens") / total).alias("tokens"))
     mean = groups.agg(F.sum(F.col("tokens") * F.log("n")) / F.sum("tokens")).first()[0] or 0.0
     groups = materialize(groups.withColumn("x", F.log("n") - F.lit(mean)), "mix-groups")
-    a, b = np.zeros(0), 0.0
+    a, b, steps, miss = np.zeros(0), 0.0, 0, 0.0
     if free:
-        a, b, _ = solve(groups, free, np.array([wanted[n] / total for n in free]), 0.0)
+        a, b, steps, miss = solve(groups, free, np.array([wanted[n] / total for n in free]), 0.0)
 
     lam = {n: float(v) for n, v in zip(free, a)}
     rate = F.col("cap")
@@ -167,5 +169,6 @@ def mix(items: DataFrame, targets: DataFrame, id: str = "doc_id") -> tuple[DataF
         (F.coalesce("tokens", F.lit(0)) / F.lit(float(max(sum_used, 1)))).alias("share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"),
         F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.col("cap").cast("int").alias("max_repeats"),
+        F.lit(steps).alias("newton_steps"), F.lit(miss).alias("rate_miss"),
     )
     return chosen.withColumnRenamed("id", id), shares

@@ -1,14 +1,15 @@
 """Filling containers of fixed capacity by deficit round-robin over source queues.
 
-All documents of a source form a queue in hash order. A source with share w of
-all tokens owes w of every stretch of the queues, so a document belongs to block
-floor(tokens before it in its queue / (w * BLOCK_TOKENS)): blocks hold the
-target proportions up to one document, and what a source is ahead or behind at
-the start of a block follows from the prefix sums alone. Blocks are filled in
-parallel; within one, each container gives every source its quantum, and the
-source that is owed most places its largest document that fits, until no source
-that is owed anything has one; the space left goes to the best fit of any queue,
-on credit.
+All documents of a source form a queue in hash order. A schedule says how much of
+each queue belongs before any point of the whole output: sources advance in
+proportion to their target shares; when one is used up the others share its part
+in proportion, and sources without a share come last. A document belongs to the
+block of output in which the schedule reaches it, so blocks hold the target
+proportions up to one document, and what a source is ahead or behind at the start
+of a block follows from the prefix sums alone. Blocks are filled in parallel;
+within one, each container gives every source its quantum, and the source that is
+owed most places its largest document that fits, until no source that is owed
+anything has one; the space left goes to the best fit of any queue, on credit.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.plans.lookup import lookup
 from weft.plans.storage import materialize
 
 #: Tokens that one task packs.
@@ -30,6 +32,29 @@ ROWS_A_SALT = 4000
 UNKNOWN = "\u0000unknown"
 
 
+def schedule(mine: dict, shares: dict) -> dict[str, list[tuple[float, float, float, float]]]:
+    """(queue from, queue to, output from, output tokens per queue token) of every source, phase by phase.
+
+    Without positive shares the sources' own sizes are their shares: one phase.
+    """
+    left, at, used = {s: float(v) for s, v in mine.items() if v > 0}, 0.0, dict.fromkeys(mine, 0.0)
+    phases: dict = {s: [] for s in mine}
+    while left:
+        weights = {s: w for s in left if (w := shares.get(s) or 0.0) > 0} or dict(left)
+        total = sum(weights.values())
+        length = min(left[s] * total / w for s, w in weights.items())
+        for s, w in weights.items():
+            took = min(left[s], length * w / total)
+            if left[s] - took <= 1e-9 * mine[s]:
+                took = left[s]
+            phases[s].append((used[s], used[s] + took, at, total / w))
+            used[s] += took
+            left[s] -= took
+        left = {s: v for s, v in left.items() if v > 0}
+        at += length
+    return phases
+
+
 def fill(sizes: list[int], sources: list, capacity: int, shares: dict, deficits: dict) -> list[tuple[int, int]]:
     """(container, place) of each item, all of at most ``capacity``; ``deficits`` is carried on in place."""
     queues: dict = {}
@@ -76,6 +101,8 @@ def pack(items: DataFrame, options: DataFrame, id: str = "doc_id", source: str =
 
     items: id, source, tokens long. options: option_name, capacity_tokens.
     shares: source, share; without it each source has its share of all tokens.
+    Containers are numbered in the order of the output, so with given shares the
+    first ones hold them, and later ones what is left when sources run out.
     An item longer than the capacity is cut into full containers and a rest;
     pieces count from 0, every other item is whole. ``place`` is the offset in
     the container, ``unused`` what the container has left.
@@ -102,29 +129,40 @@ def pack(items: DataFrame, options: DataFrame, id: str = "doc_id", source: str =
     salted = each.groupBy("option_name", "source", "salt").agg(F.sum("rest").alias("sum"))
     before = Window.partitionBy("option_name", "source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     salted = salted.select("option_name", "source", "salt", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
-    whole = each.groupBy("option_name", "source").agg(F.sum("rest").alias("mine"))
-    whole = whole.withColumn("all", F.sum("mine").over(Window.partitionBy("option_name")))
-    if shares is None:
-        whole = whole.withColumn("share", F.when(F.col("all") > 0, F.col("mine") / F.col("all")).otherwise(0.0))
-    else:
-        whole = whole.join(F.broadcast(shares.select("source", "share")), "source", "left").fillna(0.0, ["share"])
-    whole = materialize(whole, "pack-shares")
+    mine: dict = {}  # one number per option and source
+    for r in each.groupBy("option_name", "source").agg(F.sum("rest").alias("mine")).toLocalIterator():
+        mine.setdefault(r["option_name"], {})[r["source"]] = r["mine"]
+    wanted = {}
+    if shares is not None:
+        wanted = {r["source"]: float(r["share"]) for r in shares.where("share > 0").groupBy("source").agg(F.max("share").alias("share")).collect()}
+    plan = [
+        (option, source, float(sum(own.values())), [tuple(map(float, p)) for p in phases])
+        for option, own in mine.items() for source, phases in schedule(own, wanted).items()
+    ]
+    step = "struct<`from`: double, `to`: double, at: double, pace: double>"
+    whole = materialize(
+        items.sparkSession.createDataFrame(plan, f"option_name {dict(options.dtypes)['option_name']}, source string, all double, steps array<{step}>"), "pack-plan"
+    )
     inside = Window.partitionBy("option_name", "source", "salt").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
-    queued = (
-        each.join(salted, ["option_name", "source", "salt"]).join(F.broadcast(whole), ["option_name", "source"])
-        .withColumn("at", F.col("start") + F.coalesce(F.sum("rest").over(inside), F.lit(0)))
+    queued = lookup(each.join(salted, ["option_name", "source", "salt"]), whole, ["option_name", "source"]).withColumn(
+        "at", F.col("start") + F.coalesce(F.sum("rest").over(inside), F.lit(0))
     )
     blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK_TOKENS))
-    # in its own share a queue spans all blocks evenly; what it owes is corrected by the deficits
-    span = F.col("mine") / blocks
-    queued = queued.withColumn(
-        "block", F.when(F.col("mine") > 0, F.least(F.floor(F.col("at") / span), blocks - 1)).otherwise(F.pmod("salt", blocks)).cast("long")
+    size = F.col("all") / blocks
+    # where the schedule places a point of the queue, and how much of the queue it has placed before a point of the output
+    placed_at = lambda at: F.aggregate(
+        "steps", F.lit(0.0), lambda x, p: F.when(at >= p["from"], p["at"] + (F.least(at, p["to"]) - p["from"]) * p["pace"]).otherwise(x)
+    )
+    due = lambda out: F.aggregate(
+        "steps", F.lit(0.0), lambda x, p: F.when(out >= p["at"], F.least(p["to"], p["from"] + (out - p["at"]) / p["pace"])).otherwise(x)
     )
-    queued = materialize(queued.select("option_name", "capacity", "block", "source", "share", "mine", "all", "order", "id", "tokens", "rest"), "pack-queued")
+    block = F.when(F.size("steps") > 0, F.least(F.floor(placed_at(F.col("at").cast("double")) / size), blocks - 1)).otherwise(F.pmod("salt", blocks))
+    queued = queued.withColumn("block", block.cast("long")).withColumn("due", due(F.col("block") * size))
+    queued = queued.withColumn("share", (due((F.col("block") + 1) * size) - F.col("due")) / F.greatest(size, F.lit(1.0)))
+    queued = materialize(queued.select("option_name", "capacity", "block", "source", "share", "due", "order", "id", "tokens", "rest"), "pack-queued")
     ahead = Window.partitionBy("option_name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    got = queued.groupBy("option_name", "block", "source", "mine", "all").agg(F.sum("rest").alias("sum")).select(
-        "option_name", "block", "source",
-        (F.col("block") * F.col("mine") / blocks - F.coalesce(F.sum("sum").over(ahead), F.lit(0))).alias("deficit"),
+    got = queued.groupBy("option_name", "block", "source").agg(F.sum("rest").alias("sum"), F.first("due").alias("due")).select(
+        "option_name", "block", "source", (F.col("due") - F.coalesce(F.sum("sum").over(ahead), F.lit(0))).alias("deficit")
     )
 
     def one(batch: pd.DataFrame) -> pd.DataFrame:

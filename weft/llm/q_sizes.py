@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weft.llm.mixing import mix
 from weft.llm.packing import pack
@@ -20,6 +21,35 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack(_sizes(spark, d), table(spark, d, "pack_option"))
 
 
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Packed to the weights of mix_target: for each option the windows that are filled before a source runs out, and how far they are from the weights.
+
+    The shares of the first windows are compared with the wanted ones, source by
+    source; off is half the sum of the differences (0: equal, 1: nothing in common).
+    """
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_target").where("weight > 0").select("source", F.col("weight").alias("share"))
+    own = materialize(targets.join(sizes.groupBy("source").agg(F.sum("tokens").alias("mine")), "source").where("mine > 0"), "pack-own")  # one row a source
+    all_weight = own.agg(F.sum("share")).first()[0] or 1.0
+    until = own.agg(F.min(F.col("mine") * all_weight / F.col("share"))).first()[0] or 0.0
+    placed = pack(sizes, table(spark, d, "pack_option"), shares=own.select("source", "share"))
+    windows = placed.join(sizes.select("doc_id", "source"), "doc_id").groupBy("option_name", "container", "source").agg(F.sum("tokens").alias("tokens"))
+    windows = materialize(windows, "pack-windows")
+    each = windows.groupBy("option_name", "container").agg(F.sum("tokens").alias("all"))
+    # a window's place in the output by prefix sums over blocks, then inside a block
+    each = each.withColumn("block", F.shiftright("container", 32))
+    sums = each.groupBy("option_name", "block").agg(F.sum("all").alias("sum"))
+    ahead = Window.partitionBy("option_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("option_name", "block", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("option_name", "block").orderBy("container")
+    first = each.join(sums, ["option_name", "block"]).withColumn("end", F.col("before") + F.sum("all").over(inside)).where(F.col("end") <= until)
+    grid = first.select("option_name", "container", "all").join(own.select("source", (F.col("share") / all_weight).alias("share")))  # sources of each window
+    met = grid.join(windows, ["option_name", "container", "source"], "left").withColumn("got", F.coalesce("tokens", F.lit(0)) / F.col("all"))
+    off = met.groupBy("option_name", "container").agg(
+        ((F.sum(F.abs(F.col("got") - F.col("share"))) + 1 - F.sum("got")) / 2).alias("off"), F.first("all").alias("all")
+    )
+    return off.groupBy("option_name").agg(F.count(F.lit(1)).alias("windows"), F.avg("off").alias("mean_off"), F.percentile_approx("off", 0.95).alias("off_95"), F.sum("all").alias("tokens"))
+
+
 def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     """Per option: containers, tokens, and the share of all space that is left unused."""
     placed = p7_pack(spark, d).groupBy("option_name", "container").agg(F.sum("tokens").alias("tokens"), F.max("unused").alias("unused"))
@@ -37,5 +67,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), table(spark, d, "mix_target"))[1]
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p7_pack": p7_pack, "p7_windows": p7_windows, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLES: dict[str, str] = {}

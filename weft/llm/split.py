@@ -3,7 +3,7 @@
 A text gets the prefix sums of its characters' UTF-8 lengths and, per kind of
 boundary, a sorted array of the byte offsets where one lies. The end of a piece
 is the last boundary within the limit, found by binary search: a paragraph end
-if one lies in the second half of the piece, else a sentence or line end, else a
+if one lies in the second half of its new text, else a sentence or line end, else a
 word end, else the last whole character. The next piece steps back by the
 overlap.
 """
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 SENTENCE = re.compile(r"[.!?…][\"')\]]*\s+|[。！？।]+\s*|\n+")
 WORD = re.compile(r"\s+|[、，；]")
+#: Bytes of the widest character in UTF-8.
+WIDEST = 4
 
 
 def offsets(text: str) -> np.ndarray:
@@ -34,21 +36,22 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(from, start, end) byte offsets of each piece: [start, end) tiles the text, [from, start) is the overlap.
 
     Every piece has at most ``limit`` bytes, overlap included, except that a
-    single character longer than the limit stays whole. The overlap is at most
-    half the limit and never begins inside a character.
+    single character longer than the limit stays whole. The overlap never begins
+    inside a character; one that leaves no room for WIDEST bytes of new text,
+    which no character exceeds, is as long as that room allows.
     """
     at = offsets(text)
     total = int(at[-1])
     if total <= limit:
         return [(0, 0, total)] if total else []
-    overlap = max(0, min(overlap, limit // 2))
+    overlap = max(0, min(overlap, limit - WIDEST))
     levels = [at[[m.end() for m in kind.finditer(text)]] for kind in (PARAGRAPH, SENTENCE, WORD)]
     found, begin, start = [], 0, 0
     while total - begin > limit:
         reach, cut = begin + limit, 0
         for k, bounds in enumerate(levels):
             i = int(np.searchsorted(bounds, reach, side="right")) - 1
-            least = begin + limit // 2 if k < 2 else start + 1
+            least = start + (reach - start) // 2 if k < 2 else start + 1
             if i >= 0 and bounds[i] > start and bounds[i] >= least:
                 cut = int(bounds[i])
                 break

@@ -29,17 +29,11 @@ def encoder(vocabulary: bytes):
     return _made[key]
 
 
-#: Longest stretch that is encoded at once: the merging of one very long word takes more than linear time.
-STRETCH = 100_000
-
-
 def count_tokens(encode, text: str | None) -> int:
     if not text:
         return 0
     try:
-        if len(text) <= STRETCH or max(map(len, text.split())) <= STRETCH:
-            return len(encode(text))
-        return sum(len(encode(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH))
+        return len(encode(text))
     except UnicodeEncodeError:  # lone surrogates
         return len(encode(text.encode("utf-8", "replace").decode()))
 
@@ -48,8 +42,8 @@ def with_tokens(df: DataFrame, keep: list[str], text: str = "text", vocabulary:
     """The columns ``keep`` and ``tokens`` long: the size of the whole text; 0 for null and empty texts.
 
     The file is read by the driver and sent to the executors once. Special
-    tokens in a text are ordinary text. A word of more than STRETCH characters
-    is encoded in stretches.
+    tokens in a text are ordinary text. Texts and words are encoded whole, however
+    long (a word of six million letters takes some seconds).
     """
     with open(vocabulary, "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())
