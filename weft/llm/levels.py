@@ -27,14 +27,13 @@ from weft.plans.storage import materialize
 
 #: Shares of a language's documents that a familiar word occurs in.
 CUTS = (0.01, 0.05, 0.08, 0.1, 0.15, 0.18, 0.2, 0.22, 0.24, 0.26, 0.3, 0.35, 0.4, 0.5)
+#: Words that occur in fewer of a language's documents are in no list; they do not tell languages apart either.
+LEAST_SHARE = 0.0025
 LEVELS = 5
 #: Labelled documents that the formula is fitted to, about: those with the least hashes.
 MAX_LABELS = 20_000
 #: Languages with at least this share of the labelled-language documents have lists of their own; so there are at most 1 / LEAST_LANGUAGE.
 LEAST_LANGUAGE = 0.002
-#: Words a list may hold. Shares in a language sum to its mean number of distinct words, so few words reach the least cut.
-MAX_WORDS = 50_000
-
 FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 ITEM = re.compile(r"\s*(?:[#|>*+•]|[-–]\s|\d+[.)]\s|https?://|\Z)")
 END = re.compile(r"[.!?。…]['\")»”]*\s*\Z")
@@ -70,16 +69,42 @@ def sentences(text: str) -> list[list[str]]:
 
 @dataclass
 class Lists:
+    """The words that reach LEAST_SHARE in a language, for each of them the languages and shares (rows from[i] to from[i + 1])."""
+
     languages: list[str]
+    docs: np.ndarray
     index: dict[str, int]
-    #: (languages, words): share of the language's documents that hold the word.
+    starts: np.ndarray
+    lang: np.ndarray
     share: np.ndarray
-    #: (languages, words): log of the share, smoothed; tells languages apart.
-    speak: np.ndarray
+
+    def shares_of(self, lang: int) -> np.ndarray:
+        """Share of the language's documents that hold each word; a last 0 for all other words."""
+        out = np.zeros(len(self.index) + 1, dtype=np.float32)
+        mine = self.lang == lang
+        out[np.repeat(np.arange(len(self.index)), np.diff(self.starts))[mine]] = self.share[mine]
+        return out
+
+    def spoken(self, words: np.ndarray) -> int:
+        """The language whose documents hold the most of these words (log shares, smoothed)."""
+        absent = np.log(0.5 / (self.docs + 1))
+        found = words[words < len(self.index)]
+        if len(self.languages) == 1 or not len(found):
+            return int(np.argmax(absent))
+        rows = np.concatenate([np.arange(self.starts[w], self.starts[w + 1]) for w in found])
+        lang = self.lang[rows]
+        score = len(words) * absent
+        np.add.at(score, lang, np.log((self.share[rows] * self.docs[lang] + 0.5) / (self.docs[lang] + 1)) - absent[lang])
+        return int(np.argmax(score))
 
 
 def familiar_words(docs: DataFrame) -> Lists:
-    """docs: text, lang. Word lists by language from document frequencies over all documents."""
+    """docs: text, lang. Word lists by language from document frequencies over all documents.
+
+    The shares of a language's words sum to the mean number of distinct words of
+    its documents, so at most that number / LEAST_SHARE words are listed, however
+    many documents there are; none of those is left out.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by: dict[str, Counter] = {}
@@ -108,19 +133,14 @@ def familiar_words(docs: DataFrame) -> Lists:
         chosen = {"": sizes.agg(F.sum("docs")).first()[0] or 0}
         words = counts
     limits = counts.sparkSession.createDataFrame([(k, int(v)) for k, v in chosen.items()], "lang string, docs long")
-    words = words.where("word <> ''").join(F.broadcast(limits), "lang").where(F.col("df") >= CUTS[0] / 4 * F.col("docs"))
-    words = materialize(words.select("lang", "word", "df", (F.col("df") / F.col("docs")).alias("share")), "level-lists")
-    most = MAX_WORDS * len(chosen)
-    if words.count() > most:  # only in a corpus of very long documents
-        words = words.orderBy(F.desc("share"), "lang", "word").limit(most)
-    rows = words.collect()
+    words = words.where("word <> ''").join(F.broadcast(limits), "lang").where(F.col("df") >= LEAST_SHARE * F.col("docs"))
+    rows = materialize(words.select("word", "lang", (F.col("df") / F.col("docs")).cast("float").alias("share")), "level-lists").toPandas().sort_values(["word", "lang"])
     languages = sorted(chosen)
-    index = {w: i for i, w in enumerate(sorted({r["word"] for r in rows}))}
-    df = np.zeros((len(languages), len(index)))
-    for r in rows:
-        df[languages.index(r["lang"]), index[r["word"]]] = r["df"]
-    docs_of = np.array([max(1, chosen[x]) for x in languages], dtype=float)[:, None]
-    return Lists(languages, index, df / docs_of, np.log((df + 0.5) / (docs_of + 1)))
+    names, sizes = np.unique(rows["word"].to_numpy(str), return_counts=True)
+    return Lists(
+        languages, np.array([max(1, chosen[x]) for x in languages], dtype=float), {w: i for i, w in enumerate(names.tolist())},
+        np.concatenate(([0], np.cumsum(sizes))), np.searchsorted(languages, rows["lang"].to_numpy(str)), rows["share"].to_numpy(float),
+    )
 
 
 def measured(docs: DataFrame, lists: Lists, id: str) -> DataFrame:
@@ -129,19 +149,18 @@ def measured(docs: DataFrame, lists: Lists, id: str) -> DataFrame:
     types = dict(docs.dtypes)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = known.value
+        x, share, cuts = known.value, {}, np.array(CUTS)
         unknown = len(x.index)
-        share = np.concatenate((x.share, np.zeros((len(x.languages), 1))), axis=1)
-        speak = np.concatenate((x.speak, np.zeros((len(x.languages), 1))), axis=1)
-        cuts = np.array(CUTS)
         for batch in batches:
             rows = []
             for key, text in zip(batch[id], batch["text"]):
                 said = sentences(text)
                 ids = np.array([x.index.get(w, unknown) for s in said for w in s], dtype=np.int64)
                 if len(ids):
-                    lang = int(np.argmax(speak[:, np.unique(ids)].sum(axis=1)))
-                    rows.append((key, x.languages[lang], len(ids), len(ids) / len(said), (share[lang, ids][:, None] < cuts).mean(axis=0)))
+                    lang = x.spoken(np.unique(ids))
+                    if lang not in share:
+                        share[lang] = x.shares_of(lang)
+                    rows.append((key, x.languages[lang], len(ids), len(ids) / len(said), (share[lang][ids][:, None] < cuts).mean(axis=0)))
             yield pd.DataFrame(rows, columns=[id, "lang", "words", "sentence_length", "outside"])
 
     return docs.select(id, "text").mapInPandas(measure, f"`{id}` {types[id]}, lang string, words long, sentence_length double, outside array<double>")
@@ -155,9 +174,11 @@ class Formula:
     weights: np.ndarray
     #: Difficulties from which on a document has level 2, 3, ...
     bounds: np.ndarray
+    #: Which of CUTS the formula uses.
+    cuts: list[int]
 
     def design(self, lang: np.ndarray, length: np.ndarray, outside: np.ndarray) -> np.ndarray:
-        z = (np.column_stack((outside, np.log(length))) - self.mean) / self.scale
+        z = (np.column_stack((outside[:, self.cuts], np.log(length))) - self.mean) / self.scale
         z = np.column_stack((z, z * z[:, -1:], np.ones(len(z))))
         return np.concatenate([z] + [z * (lang == x)[:, None] * 0.5 for x in self.languages], axis=1)
 
@@ -166,14 +187,15 @@ class Formula:
         return hard, 1 + (hard[:, None] >= self.bounds).sum(axis=1)
 
 
-def fit(labelled: pd.DataFrame, languages: list[str], penalty: float = 2.0) -> Formula | None:
-    """labelled: lang, sentence_length, outside, level (mean of the readers). None without labels."""
+def fit(labelled: pd.DataFrame, languages: list[str], penalty: float = 2.0, cuts: tuple[float, ...] = CUTS) -> Formula | None:
+    """labelled: lang, sentence_length, outside, level (mean of the readers). cuts: some of CUTS. None without labels."""
+    use = [CUTS.index(c) for c in cuts]
     if not len(labelled):
         return None
     lang, length = labelled["lang"].to_numpy(), labelled["sentence_length"].to_numpy(float)
     outside, y = np.stack(labelled["outside"].to_numpy()), labelled["level"].to_numpy(float)
-    x = np.column_stack((outside, np.log(length)))
-    f = Formula(languages, x.mean(axis=0), x.std(axis=0) + 1e-9, np.zeros(0), np.arange(LEVELS - 1) + 1.5)
+    x = np.column_stack((outside[:, use], np.log(length)))
+    f = Formula(languages, x.mean(axis=0), x.std(axis=0) + 1e-9, np.zeros(0), np.arange(LEVELS - 1) + 1.5, use)
     a = f.design(lang, length, outside)
     f.weights = np.linalg.solve(a.T @ a + penalty * np.eye(a.shape[1]), a.T @ (y))
     if len(y) >= 200:
