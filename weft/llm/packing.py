@@ -4,8 +4,8 @@ All documents of a source form a queue in hash order. A schedule says how much o
 each queue belongs before any point of the whole output: sources advance in
 proportion to their target shares; when one is used up the others share its part
 in proportion, and sources without a share come last. A document belongs to the
-block of output in which the schedule reaches it, so blocks hold the target
-proportions up to one document, and what a source is ahead or behind at the start
+block of output in which the schedule reaches it (blocks end where a source is
+used up), so blocks hold the target proportions up to one document, and what a source is ahead or behind at the start
 of a block follows from the prefix sums alone. Blocks are filled in parallel;
 within one, each container gives every source its quantum, and the source that is
 owed most places its largest document that fits, until no source that is owed
@@ -14,6 +14,7 @@ anything has one; the space left goes to the best fit of any queue, on credit.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
@@ -55,6 +56,17 @@ def schedule(mine: dict, shares: dict) -> dict[str, list[tuple[float, float, flo
     return phases
 
 
+def _blocks(phases: dict) -> dict[str, tuple[int, list[tuple[float, float, int, int, float]]]]:
+    """Blocks in all, and (queue from, pace, first block, blocks, tokens of a block) of every step of every source; each phase is cut evenly."""
+    lengths = {at: (to - begin) * pace for steps in phases.values() for begin, to, at, pace in steps}
+    cut, count = {}, 0
+    for at in sorted(lengths):
+        blocks = max(1, math.ceil(lengths[at] / BLOCK_TOKENS))
+        cut[at] = count, blocks, lengths[at] / blocks
+        count += blocks
+    return {s: (count, [(float(begin), float(pace), *cut[at]) for begin, _, at, pace in steps]) for s, steps in phases.items()}
+
+
 def fill(sizes: list[int], sources: list, capacity: int, shares: dict, deficits: dict) -> list[tuple[int, int]]:
     """(container, place) of each item, all of at most ``capacity``; ``deficits`` is carried on in place."""
     queues: dict = {}
@@ -135,30 +147,22 @@ def pack(items: DataFrame, options: DataFrame, id: str = "doc_id", source: str =
     wanted = {}
     if shares is not None:
         wanted = {r["source"]: float(r["share"]) for r in shares.where("share > 0").groupBy("source").agg(F.max("share").alias("share")).collect()}
-    plan = [
-        (option, source, float(sum(own.values())), [tuple(map(float, p)) for p in phases])
-        for option, own in mine.items() for source, phases in schedule(own, wanted).items()
-    ]
-    step = "struct<`from`: double, `to`: double, at: double, pace: double>"
+    plan = [(option, source, *x) for option, own in mine.items() for source, x in _blocks(schedule(own, wanted)).items()]
+    step = "struct<`from`: double, pace: double, first: long, blocks: long, size: double>"
     whole = materialize(
-        items.sparkSession.createDataFrame(plan, f"option_name {dict(options.dtypes)['option_name']}, source string, all double, steps array<{step}>"), "pack-plan"
+        items.sparkSession.createDataFrame(plan, f"option_name {dict(options.dtypes)['option_name']}, source string, blocks long, steps array<{step}>"), "pack-plan"
     )
     inside = Window.partitionBy("option_name", "source", "salt").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
     queued = lookup(each.join(salted, ["option_name", "source", "salt"]), whole, ["option_name", "source"]).withColumn(
         "at", F.col("start") + F.coalesce(F.sum("rest").over(inside), F.lit(0))
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK_TOKENS))
-    size = F.col("all") / blocks
-    # where the schedule places a point of the queue, and how much of the queue it has placed before a point of the output
-    placed_at = lambda at: F.aggregate(
-        "steps", F.lit(0.0), lambda x, p: F.when(at >= p["from"], p["at"] + (F.least(at, p["to"]) - p["from"]) * p["pace"]).otherwise(x)
-    )
-    due = lambda out: F.aggregate(
-        "steps", F.lit(0.0), lambda x, p: F.when(out >= p["at"], F.least(p["to"], p["from"] + (out - p["at"]) / p["pace"])).otherwise(x)
-    )
-    block = F.when(F.size("steps") > 0, F.least(F.floor(placed_at(F.col("at").cast("double")) / size), blocks - 1)).otherwise(F.pmod("salt", blocks))
-    queued = queued.withColumn("block", block.cast("long")).withColumn("due", due(F.col("block") * size))
-    queued = queued.withColumn("share", (due((F.col("block") + 1) * size) - F.col("due")) / F.greatest(size, F.lit(1.0)))
+    # the step that holds a point of the queue, and the block of it
+    step = F.aggregate("steps", F.col("steps")[0], lambda x, p: F.when(F.col("at") >= p["from"], p).otherwise(x))
+    queued = queued.withColumn("step", F.when(F.size("steps") > 0, step))
+    inner = F.least(F.floor((F.col("at") - F.col("step.from")) * F.col("step.pace") / F.col("step.size")), F.col("step.blocks") - 1)
+    queued = queued.withColumn("block", F.coalesce(F.col("step.first") + inner, F.pmod("salt", F.greatest("blocks", F.lit(1)))).cast("long"))
+    due = F.col("step.from") + (F.col("block") - F.col("step.first")) * F.col("step.size") / F.col("step.pace")
+    queued = queued.withColumns({"due": F.coalesce(due, F.lit(0.0)), "share": F.coalesce(1 / F.col("step.pace"), F.lit(0.0))})
     queued = materialize(queued.select("option_name", "capacity", "block", "source", "share", "due", "order", "id", "tokens", "rest"), "pack-queued")
     ahead = Window.partitionBy("option_name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     got = queued.groupBy("option_name", "block", "source").agg(F.sum("rest").alias("sum"), F.first("due").alias("due")).select(
