@@ -45,3 +45,21 @@ def test_materialize(spark):
     assert out.schema.names == ["id", "x"] and out.count() == 10
     assert all(work_dir(spark) in f for f in out.inputFiles())
     assert spark.conf.get("spark.checkpoint.dir") == work_dir(spark)
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    from weft.streaming.incremental import run_to_table, windowed
+
+    schema = "ts timestamp, kind string, value double"
+    batches = [
+        [("2024-01-01 10:05:00", "a", 1.0), ("2024-01-01 10:55:00", "a", 2.0)], [("2024-01-01 12:30:00", "a", 4.0)], [("2024-01-01 12:31:00", "a", 64.0)],
+        [("2024-01-01 10:10:00", "a", 8.0), ("2024-01-01 12:25:00", "a", 16.0)], [("2024-01-01 15:00:00", "b", 32.0)],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/batch={i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/batch=*")
+    run_to_table(windowed(stream, "ts", "1 hour", "10 minutes", ["kind"], "value"), f"{tmp_path}/rows", f"{tmp_path}/state")
+    got = {(str(r.window_start), r.kind): (r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    # the row of 10:10 came after its window was closed; that of 12:25 in time; the last window is still open
+    assert got == {("2024-01-01 10:00:00", "a"): (2, 3.0), ("2024-01-01 12:00:00", "a"): (3, 84.0)}

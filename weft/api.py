@@ -28,6 +28,9 @@ class _Graph:
     def sparql(self, text: str) -> DataFrame:
         return sparql.run(self.triples(), text, self._e.retrieve.word_search())
 
+    def update(self, text: str) -> dict:
+        return maintain.graph_update(self._e.spark, Options(db=self._e.db, query=text))
+
 
 class _Content:
     def __init__(self, engine: Engine):

@@ -1,4 +1,4 @@
-"""Command line: python -m weft.cli [ingest] DIR | --search QUESTION | --search-file FILE | status | verify | vacuum | sparql QUERY"""
+"""Command line: python -m weft.cli [ingest] DIR | --search QUESTION | --search-file FILE | status | verify | vacuum | sparql QUERY | update UPDATE"""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from weft.plans.shipping import ship_package
 from weft.plans.sparql import SparqlError
 from weft.sources.walk import DB_DIR
 
-COMMANDS = ("ingest", "status", "verify", "vacuum", "sparql")
+COMMANDS = ("ingest", "status", "verify", "vacuum", "sparql", "update")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,7 +50,7 @@ def options_of(args: argparse.Namespace) -> tuple[str, Options]:
         include=args.include, exclude=args.exclude, k=args.k, hops=args.hops, ctx_budget=args.ctx_budget, paranoid=args.paranoid, fix=args.fix,
         json=args.json, include_superseded=args.include_superseded,
     )
-    if command == "sparql":
+    if command in ("sparql", "update"):
         o.query = words.pop(0) if words else sys.stdin.read()
     if command == "search":
         o.query, o.query_file = args.search or "", args.search_file or ""
@@ -81,6 +81,8 @@ def main(argv: list[str] | None = None) -> int:
         elif command == "sparql":
             for line in maintain.graph_query(spark, o).toJSON().toLocalIterator():
                 print(line)
+        elif command == "update":
+            print(json.dumps(maintain.graph_update(spark, o)))
         else:
             print(json.dumps(getattr(maintain, command)(spark, o), default=str))
     except (Locked, SparqlError, ValueError) as e:

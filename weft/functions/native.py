@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 try:
     import xxhash
-except ImportError:  # identity then falls back to SHA-256
+except ImportError:  # everything but identity works without it
     xxhash = None
 
 # --- fixed values ----------------------------------------------------------------------------------------------------
@@ -172,8 +172,15 @@ def looks_binary_udf(heads: pd.Series) -> pd.Series:
     return heads.map(lambda x: looks_binary(bytes(x[:SNIFFED])), na_action="ignore")
 
 
+def _hashes():
+    """One kind of hash on all machines: another on one of them would give the same content two identities."""
+    if xxhash is None:
+        raise RuntimeError("content identity needs the package xxhash on the driver and on every executor")
+    return xxhash
+
+
 def _hash16(data: bytes) -> str:
-    return xxhash.xxh3_128_hexdigest(data)[:16] if xxhash else hashlib.sha256(data).hexdigest()[:16]
+    return _hashes().xxh3_128_hexdigest(data)[:16]
 
 
 def tap_bytes(data: bytes) -> str:
@@ -213,7 +220,7 @@ def content_id(contents: pd.Series) -> pd.Series:
 
 def vec_key_of(chunk: str) -> int:
     """64-bit key of a chunk, as a signed number."""
-    h = xxhash.xxh3_64_intdigest(chunk) if xxhash else int.from_bytes(hashlib.sha256(chunk.encode()).digest()[:8], "big")
+    h = _hashes().xxh3_64_intdigest(chunk)
     return h - (1 << 64) if h >= 1 << 63 else h
 
 

@@ -41,6 +41,9 @@ TABLES: dict[str, T.StructType] = {
     "posting": _schema("term string, chunk_id string, tf long"),
     "chunk_len": _schema("chunk_id string, dl long"),
     "meta": _schema("key string, value string"),
+    # triples that updates state or take back, beside those that follow from the other tables
+    "stated": _schema("s string, p string, o string, o_kind string, o_datatype string"),
+    "withdrawn": _schema("s string, p string, o string, o_kind string, o_datatype string"),
 }
 
 TRIPLE = _schema("s string, p string, o string, o_kind string, o_datatype string")

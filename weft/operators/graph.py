@@ -18,6 +18,7 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 
 HUB_SHARE, HUB_LEAST = 0.05, 2.0
 MAX_COMENTIONS = 200
+# the names of classes and predicates below, the scheme and these three numbers are fixed values
 
 
 # --- triples ---------------------------------------------------------------------------------------------------------
@@ -40,6 +41,7 @@ def _rows(df: DataFrame, *triples: list[Column]) -> DataFrame:
 
 
 def doc_triples(doc: DataFrame, path: DataFrame, chunk: DataFrame) -> DataFrame:
+    """One row per docid, per relpath and per chunk_id."""
     d = iri("doc", F.col("docid"))
     own = _rows(
         doc, _a(d, "Document"), _triple(d, "checksum", F.col("docid")), _triple(d, "bytes", F.col("bytes"), datatype="integer"),
@@ -52,7 +54,7 @@ def doc_triples(doc: DataFrame, path: DataFrame, chunk: DataFrame) -> DataFrame:
 
 
 def chunk_triples(chunk: DataFrame) -> DataFrame:
-    """chunk: chunk_id, docid, ordinal, byte_start, byte_end, text, summary, extraction_failed, has_next."""
+    """chunk: chunk_id (one row each), docid, ordinal, byte_start, byte_end, text, summary, extraction_failed, has_next."""
     c, following = iri("chunk", F.col("chunk_id")), F.format_string("%s:%04d", F.col("docid"), F.col("ordinal") + 1)
     return _rows(
         chunk, _a(c, "Chunk"), _triple(c, "partOf", iri("doc", F.col("docid")), "iri"), _triple(c, "ordinal", F.col("ordinal"), datatype="integer"),
@@ -63,38 +65,63 @@ def chunk_triples(chunk: DataFrame) -> DataFrame:
     )
 
 
-def tag_triples(tags: DataFrame) -> DataFrame:
-    """tags: chunk_id, label. Labels without a letter or digit are left out."""
-    tags = tags.withColumn("slug", slugify(F.col("label"))).where("slug <> ''")
+def tag_triples(tags: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """tags: chunk_id, label. Labels without a letter or digit are left out. linked: those that chunks link to, if not all."""
+    slugs = lambda df: df.withColumn("slug", slugify(F.col("label"))).where("slug <> ''")
+    linked, tags = slugs(tags if linked is None else linked), slugs(tags)
     t = iri("tag", F.col("slug"))
-    return _rows(tags, _triple(iri("chunk", F.col("chunk_id")), "taggedWith", t, "iri"), _a(t, "Tag"), _triple(t, "label", F.col("label")))
+    return (
+        _rows(linked.select("chunk_id", "slug").distinct(), _triple(iri("chunk", F.col("chunk_id")), "taggedWith", t, "iri"))
+        .unionByName(_rows(tags.select("slug").distinct(), _a(t, "Tag")))
+        .unionByName(_rows(tags.select("slug", "label").distinct(), _triple(t, "label", F.col("label"))))
+    )
 
 
-def entity_triples(entities: DataFrame) -> DataFrame:
-    """entities: chunk_id, name, type."""
-    entities = entities.withColumn("slug", slugify(F.col("name"))).where("slug <> ''")
+def entity_triples(entities: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """entities: chunk_id, name, type. linked: those that chunks mention, if not all."""
+    slugs = lambda df: df.withColumn("slug", slugify(F.col("name"))).where("slug <> ''")
+    linked, entities = slugs(entities if linked is None else linked), slugs(entities)
     e = iri("entity", F.col("slug"))
-    return _rows(
-        entities, _triple(iri("chunk", F.col("chunk_id")), "mentions", e, "iri"), _a(e, "Entity"), _triple(e, "label", F.col("name")),
-        _triple(e, "entityType", F.col("type")),
+    return (
+        _rows(linked.select("chunk_id", "slug").distinct(), _triple(iri("chunk", F.col("chunk_id")), "mentions", e, "iri"))
+        .unionByName(_rows(entities.select("slug").distinct(), _a(e, "Entity")))
+        .unionByName(_rows(entities.select("slug", "name").distinct(), _triple(e, "label", F.col("name"))))
+        .unionByName(_rows(entities.select("slug", "type").distinct(), _triple(e, "entityType", F.col("type"))))
     )
 
 
-def relation_triples(relations: DataFrame) -> DataFrame:
-    """relations: chunk_id, seq, subject, predicate, object, confidence. The receipt of a relation is named by chunk and number."""
-    r = relations.withColumn("ss", slugify(F.col("subject"))).withColumn("os", slugify(F.col("object"))).where("ss <> '' and os <> ''")
+def relation_triples(relations: DataFrame, proven: DataFrame | None = None) -> DataFrame:
+    """relations: chunk_id, seq (one row each), subject, predicate, object, confidence. The receipt of a relation is named by chunk and number. proven: those with a receipt, if not all."""
+    slugs = lambda df: df.withColumns({"ss": slugify(F.col("subject")), "os": slugify(F.col("object"))}).where("ss <> '' and os <> ''")
+    r, all_relations = slugs(relations if proven is None else proven), slugs(relations)
     node = F.concat(F.lit("_:rel_"), F.replace(F.col("chunk_id"), F.lit(":"), F.lit("_")), F.lit("_"), F.col("seq").cast("string"))
     s, p, o = iri("entity", F.col("ss")), iri("rel", rel_slug(F.col("predicate"))), iri("entity", F.col("os"))
     return _rows(
         r, _a(node, "Relation"), _triple(node, "subject", s, "iri"), _triple(node, "predicate", p, "iri"), _triple(node, "object", o, "iri"),
         _triple(node, "evidencedBy", iri("chunk", F.col("chunk_id")), "iri"),
-        _triple(node, "confidence", confidence_text(F.col("confidence")), datatype="decimal"), _triple(s, p, o, "iri"),
-    )
+        _triple(node, "confidence", confidence_text(F.col("confidence")), datatype="decimal"),
+    ).unionByName(_rows(all_relations.select("ss", "predicate", "os").distinct(), _triple(s, p, o, "iri")).distinct())
 
 
 def triple_view(*parts: DataFrame) -> DataFrame:
-    """All parts as one set: a triple stated twice is one triple."""
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["s", "p", "o", "o_kind", "o_datatype"])
+    """All parts as one set. Each part is a set already: what rests on a key is stated once, only names and classes are made distinct, and no text is compared."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def live_tables(doc: DataFrame, **by_document: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Tables without superseded documents, decided on ids before any triple is made: doc, and each table with ``docid`` or ``chunk_id``.
+
+    A table with ``chunk_id`` alone follows the table ``chunk_text``, which has both.
+    Names and classes of entities and tags, and direct relations, stay as they are
+    in a vacuum; only what chunks link to and what proves relations goes.
+    """
+    old = doc.where("superseded_by is not null").select("docid").distinct()
+    chunks = by_document["chunk_text"].join(old, "docid", "left_semi").select("chunk_id").distinct()
+    out = {}
+    for name, df in by_document.items():
+        key, gone = ("docid", old) if "docid" in df.columns else ("chunk_id", chunks)
+        out[name] = df.join(gone, key, "left_anti")
+    return doc.where("superseded_by is null"), out
 
 
 def turtle_lines(triples: DataFrame) -> DataFrame:

@@ -16,14 +16,22 @@ from weft.functions.text import salient_terms, words
 from weft.plans.storage import materialize
 
 K1, B = 1.2, 0.75
-#: Terms that one pass looks for; they become one filter.
+#: Terms that one pass looks for, about; they become one filter.
 MAX_TERMS_AT_ONCE = 1000
 
 
-def postings(texts: DataFrame, id: str = "chunk_id", text: str = "text", split=words) -> tuple[DataFrame, DataFrame]:
-    """(posting: term, id, tf; chunk_len: id, dl). Texts without a word have neither."""
+def _begins(term, terms: list[str]):
+    return reduce(lambda a, b: a | b, (F.startswith(term, F.lit(t)) for t in terms))
+
+
+def postings(texts: DataFrame, id: str = "chunk_id", text: str = "text", split=words, begins: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(posting: term, id, tf; chunk_len: id, dl). Texts without a word have neither.
+
+    begins: the index holds only words that one of these begins, and no others are shuffled.
+    """
     said = texts.select(id, split(F.col(text)).alias("_w")).where(F.size("_w") > 0)
-    posting = said.select(id, F.explode("_w").alias("term")).groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"))
+    mine = F.col("_w") if begins is None else F.filter("_w", lambda w: _begins(w, begins) if begins else F.lit(False))
+    posting = said.select(id, F.explode(mine).alias("term")).groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"))
     return posting.select("term", id, "tf"), said.select(id, F.size("_w").cast("long").alias("dl"))
 
 
@@ -36,7 +44,7 @@ def bm25(posting: DataFrame, chunk_len: DataFrame, terms: list[str], id: str = "
     """term, id, score for every chunk with a word that a term begins. Only those words are read from the posting table."""
     if not terms:
         return posting.sparkSession.createDataFrame([], f"term string, {id} {dict(posting.dtypes)[id]}, score double")
-    wanted = reduce(lambda a, b: a | b, (F.col("term").startswith(t) for t in terms))
+    wanted = _begins(F.col("term"), terms)
     begun = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.startswith(F.col("term"), t))
     hits = posting.where(wanted).select(F.explode(begun).alias("q"), id, "tf").groupBy("q", id).agg(F.sum("tf").cast("double").alias("tf"))
     df = hits.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("df"))
@@ -58,13 +66,16 @@ def keyword_hits(posting: DataFrame, chunk_len: DataFrame, terms: list[str], k:
 
 
 def keyword_hits_many(posting: DataFrame, chunk_len: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id") -> DataFrame:
-    """query_id, id, score, rank: :func:`keyword_hits` of several queries (query_id, query), all scored in one pass over the postings."""
+    """query_id, id, score, rank: :func:`keyword_hits` of several queries (query_id, query), scored in one pass over the postings per block of terms."""
     terms = materialize(query_terms(queries), "query-terms")
-    wanted = [r["term"] for r in terms.select("term").distinct().limit(MAX_TERMS_AT_ONCE + 1).collect()]
-    if len(wanted) > MAX_TERMS_AT_ONCE:
-        raise ValueError(f"more than {MAX_TERMS_AT_ONCE} terms: pass the queries in blocks")
+    distinct = terms.select("term").distinct()
+    blocks = materialize(distinct.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(distinct.count() * 2 // MAX_TERMS_AT_ONCE + 1))), "query-blocks")
     per_term = Window.partitionBy("term").orderBy(F.desc("score"), id)
-    scored = bm25(posting, chunk_len, sorted(wanted), id).withColumn("_rn", F.row_number().over(per_term)).where(F.col("_rn") <= k)
+    found = []
+    for b in sorted(r["block"] for r in blocks.select("block").distinct().collect()):
+        wanted = sorted(r["term"] for r in blocks.where(F.col("block") == b).collect())
+        found.append(bm25(posting, chunk_len, wanted, id).withColumn("_rn", F.row_number().over(per_term)).where(F.col("_rn") <= k))
+    scored = reduce(DataFrame.unionByName, found or [bm25(posting, chunk_len, [], id)])
     best = terms.join(scored, "term").groupBy("query_id", id).agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id)))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,7 @@ class Locked(RuntimeError):
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._staged: dict[str, list[str]] = {}
         jvm = spark._jvm
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         self._fs = self._path("CURRENT").getFileSystem(spark._jsc.hadoopConfiguration())
@@ -54,13 +56,16 @@ class Store:
         return self._load()["tables"].get(table, [])
 
     def read(self, table: str) -> DataFrame:
-        parts = self.parts(table)
+        parts = self._staged.get(table) or self.parts(table)
         if not parts:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.folder}/{at}" for at in parts])
 
-    def commit(self, changes: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> int:
-        """Write tables anew (changes) or rows to add to them, and swap the pointer; on failure the pointer is untouched."""
+    def commit(self, changes: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, check: Callable[[], None] | None = None) -> int:
+        """Write tables anew (changes) or rows to add to them, and swap the pointer; on failure the pointer is untouched.
+
+        ``check`` sees the new tables through this store before anyone else does; if it raises, they are dropped.
+        """
         state = self._load()
         version = state["version"] + 1
         changes, added, made = dict(changes), dict(added or {}), []
@@ -78,10 +83,15 @@ class Store:
                     df = df.repartitionByRange(LAYOUT[table]).sortWithinPartitions(LAYOUT[table])
                 df.write.parquet(f"{self.folder}/{at}")
                 state["tables"][table] = [at] if table in changes else [*state["tables"].get(table, []), at]
+            if check:
+                self._staged = state["tables"]
+                check()
         except BaseException:
             for at in made:
                 self._fs.delete(self._path(at), True)
             raise
+        finally:
+            self._staged = {}
         state["version"] = version
         self._swap(json.dumps(state))
         return version

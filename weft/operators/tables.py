@@ -73,14 +73,15 @@ def classify(files: DataFrame, path: DataFrame, doc: DataFrame) -> DataFrame:
     known = path.select("relpath", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), F.col("docid").alias("_old"))
     done = doc.where((F.col("stage") >= COMMITTED) & (F.col("vacuumed") == 0)).select(F.col("docid").alias("_done"), F.lit(True).alias("_is_done")).distinct()
     old_done = done.select(F.col("_done").alias("_old"), F.col("_is_done").alias("_old_done"))
-    j = files.join(known, "relpath", "left").join(old_done, "_old", "left").join(done, files.docid == F.col("_done"), "left")
-    first = Window.partitionBy("docid").orderBy("relpath")
+    # one row per content, aggregated where the files lie: a content may have any number of copies
+    first = files.where("docid is not null").groupBy("docid").agg(F.min("relpath").alias("_first"))
+    first = first.join(done, first.docid == F.col("_done"), "left").drop("_done")
+    j = files.join(known, "relpath", "left").join(old_done, "_old", "left").join(first, "docid", "left")
     same = (F.col("mtime") == F.col("_mtime")) & (F.col("size") == F.col("_size"))
-    j = j.withColumn("_rn", F.when(F.col("docid").isNotNull(), F.row_number().over(first)))
     kind = (
         F.when(same & F.coalesce("_old_done", F.lit(False)), "unchanged")
         .when((F.col("docid") == F.col("_old")) & F.coalesce("_is_done", F.lit(False)), "touched")
-        .when(F.coalesce("_is_done", F.lit(False)) | (F.col("_rn") > 1), "duplicate")
+        .when(F.coalesce("_is_done", F.lit(False)) | (F.col("_first") < F.col("relpath")), "duplicate")
         .when(F.col("_old").isNotNull() & (F.col("_old") != F.col("docid")), "changed")
         .otherwise("new")
     )
@@ -88,8 +89,17 @@ def classify(files: DataFrame, path: DataFrame, doc: DataFrame) -> DataFrame:
     return j.withColumn("kind", kind).select(*files.columns, "kind", F.when(changed & (F.col("kind") != "unchanged"), F.col("_old")).alias("replaces"))
 
 
+def flagged(files: DataFrame, path: DataFrame, doc: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """files and ``known``: whether path, time and size are known and the document is done, and the path is none of ``forced``; others are read."""
+    done = doc.where((F.col("stage") >= COMMITTED) & (F.col("vacuumed") == 0)).select("docid").distinct()
+    same = path.join(done, "docid", "left_semi").select("relpath", "mtime", "size", F.lit(True).alias("known"))
+    if forced is not None:
+        same = same.join(forced.select("relpath"), "relpath", "left_anti")
+    out = files.join(same, ["relpath", "mtime", "size"], "left")
+    return out.select(*files.columns, F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def unread(files: DataFrame, path: DataFrame, doc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files whose path, time and size are known and whose document is done, all others): only the others are read."""
-    done = doc.where((F.col("stage") >= COMMITTED) & (F.col("vacuumed") == 0)).select("docid").distinct()
-    same = path.join(done, "docid", "left_semi").select("relpath", "mtime", "size")
-    return files.join(same, ["relpath", "mtime", "size"], "left_semi"), files.join(same, ["relpath", "mtime", "size"], "left_anti")
+    found = flagged(files, path, doc)
+    return found.where("known").drop("known"), found.where("not known").drop("known")

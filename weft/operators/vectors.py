@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.text import dot, norm
+from weft.plans.storage import materialize
 
-#: Queries that are broadcast at once against all vectors.
+#: Queries that are sent out at once against all vectors.
 MAX_QUERIES = 4096
 
 
@@ -35,28 +41,63 @@ def info(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.agg(F.max(F.size(column)).alias("dim"), F.count(F.lit(1)).alias("count"), F.lit(32).alias("bit_width"))
 
 
-def score(query: Column, vector: Column) -> Column:
-    """Cosine; null where a vector is all zero."""
-    length = norm(query) * norm(vector)
-    return F.when(length > 0, dot(query, vector) / length)
+def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of the entries with ``dim`` finite components that are not all zero."""
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    x = column.filter(good).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    with np.errstate(invalid="ignore", over="ignore"):
+        length = np.sqrt((x * x).sum(axis=1))
+        use = np.isfinite(length) & (length > 0)
+    return np.flatnonzero(good.to_numpy(zero_copy_only=False))[use], x[use] / length[use, None]
 
 
 def nearest(
-    queries: DataFrame, vectors: DataFrame, key: str, k: int, allowed: DataFrame | None = None, column: str = "embedding"
+    queries: DataFrame, vectors: DataFrame, key: str, k: int, allowed: DataFrame | None = None, column: str = "embedding", block: int = MAX_QUERIES
 ) -> DataFrame:
     """query_id, key, score, rank of the k best per query, ties to the lesser key.
 
-    queries: query_id, query array<float>; at most MAX_QUERIES of them, which are
-    broadcast, so vectors are scored where they lie and only the best k of each
-    task are shuffled. ``allowed`` (key) restricts the vectors before any is
-    scored; an empty one gives no hits.
+    queries: query_id, query array<float>. They are sent out a block at a time, so
+    vectors are scored where they lie, by one matrix product per batch, and only
+    the best k of each batch are shuffled. ``allowed`` (key) restricts the vectors
+    before any is scored; an empty one gives no hits. Vectors that are null, all
+    zero or of another length than the query, or have a null or NaN, give no hit.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: pass them in blocks")
     if allowed is not None:
         vectors = vectors.join(allowed.select(key).distinct(), key, "left_semi")
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", "query"))).select(
-        "query_id", key, score(F.col("query"), F.col(column)).alias("score")
-    )
+    types, vtypes = dict(queries.dtypes), dict(vectors.dtypes)
+    schema = f"query_id {types['query_id']}, `{key}` {vtypes[key]}, score double"
+    asked = materialize(queries.select("query_id", "query"), "near-queries")
+    count = asked.count()
+    blocks = -(-count // block) or 1
+    parts = []
+    for b in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        got = mine.toArrow().combine_chunks()  # a block of queries
+        by_dim: dict[int, tuple[pa.Array, np.ndarray]] = {}
+        lists = got.column("query").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64()))
+        for dim in set(pc.list_value_length(lists).to_pylist()) - {None, 0}:
+            rows, unit = _units(lists, dim)
+            if len(rows):
+                by_dim[dim] = got.column("query_id").take(pa.array(rows)), unit
+        if by_dim:
+            parts.append(vectors.select(key, column).mapInArrow(_scored(by_dim, key, column, k), schema))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scored(by_dim: dict, key: str, column: str, k: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, (ids, query) in by_dim.items():
+                rows, unit = _units(batch.column(column), dim)
+                if not len(rows):
+                    continue
+                keys = batch.column(key).take(pa.array(rows))
+                near = np.round(query @ unit.T, 12)  # equal vectors have equal scores, whatever the order of summing
+                least = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+                i, j = np.nonzero(near >= least[:, None])  # ties at the last place go on
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids.take(pa.array(i)), keys.take(pa.array(j)), pa.array(near[i, j])], ["query_id", key, "score"])
+
+    return scan

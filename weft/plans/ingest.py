@@ -19,7 +19,7 @@ from weft.functions.text import rel_slug, slugify
 from weft.model import COMMITTED, Options
 from weft.operators.keyword import postings
 from weft.operators.store import Store
-from weft.operators.tables import classify, insert_ignore, supersede, unread, upsert
+from weft.operators.tables import classify, flagged, insert_ignore, supersede, upsert
 from weft.plans.providers import LLM, Embedder, HashEmbedder, MediaDeriver, MediaEmbedder, RuleLLM, extract
 from weft.plans.storage import materialize
 from weft.sources.walk import walk, with_content, with_identity
@@ -138,25 +138,37 @@ def graph_rows(found: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _whole(store: Store, chunks: DataFrame) -> None:
+    """Every new chunk must be in the rows that were written for it, or nothing becomes visible."""
+    wanted, got = chunks.count(), chunks.select("chunk_id").join(store.read("chunk").select("chunk_id"), "chunk_id", "left_semi").count()
+    if got < wanted:
+        raise RuntimeError(f"only {got} of {wanted} chunks were written")
+
+
 def ingest(
-    spark: SparkSession, options: Options, providers: Providers | None = None, only: list[str] | None = None, files: DataFrame | None = None
+    spark: SparkSession, options: Options, providers: Providers | None = None, only: DataFrame | None = None, files: DataFrame | None = None
 ) -> dict:
-    """Bring the database up to the tree's state; returns counts. ``only``: paths read again although time and size are known."""
+    """Bring the database up to the tree's state; returns counts. ``only`` (relpath): paths read again although time and size are known."""
     providers = providers or Providers.default()
     store = Store(spark, options.db)
     with store:
         store.clean()
-        files = materialize(files if files is not None else walk(spark, options.root, options.include, options.exclude), "ingest-files")
+        files = files if files is not None else walk(spark, options.root, options.include, options.exclude)
         path, doc = store.read("path"), store.read("doc")
-        forced = spark.createDataFrame([(x,) for x in only or []], "relpath string")
-        same, others = unread(files.join(forced, "relpath", "left_anti"), path, doc)
-        others = others.unionByName(files.join(forced, "relpath", "left_semi").select(others.columns))
-        read = materialize(with_identity(others.select(files.columns), options.paranoid), "ingest-read").where("docid is not null")
+        forced = only.select("relpath").distinct() if only is not None else spark.createDataFrame([], "relpath string")
+        # one job walks the tree and sets aside what is known
+        files = materialize(flagged(files, path, doc, None if only is None else forced), "ingest-files")
+        seen = {r["known"]: r["count"] for r in files.groupBy("known").count().collect()}
+        same = seen.get(True, 0)
+        if not seen.get(False, 0):
+            return {"new": 0, "skipped": same, "superseded": 0, "chunks": 0, "failed": 0}
+        others = files.where("not known").drop("known")
+        read = materialize(with_identity(others, options.paranoid), "ingest-read").where("docid is not null")
         known = path.join(forced, "relpath", "left_anti").unionByName(path.join(forced, "relpath", "left_semi").withColumn("mtime", F.lit(-1).cast("long")))
         kinds = materialize(classify(read, known, doc), "ingest-kinds")
         counts = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
         report = {
-            "new": counts.get("new", 0) + counts.get("changed", 0), "skipped": same.count() + counts.get("unchanged", 0) + counts.get("touched", 0) + counts.get("duplicate", 0),
+            "new": counts.get("new", 0) + counts.get("changed", 0), "skipped": same + counts.get("unchanged", 0) + counts.get("touched", 0) + counts.get("duplicate", 0),
             "superseded": 0, "chunks": 0, "failed": 0,
         }
         if not kinds.take(1):
@@ -197,7 +209,7 @@ def ingest(
             full_chunk = full_chunk.unionByName(raw, allowMissingColumns=True)
         added = {"chunk": full_chunk, "vector": vectors, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
         changes = {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root)}
-        store.commit(changes, added)
+        store.commit(changes, added, check=lambda: _whole(store, chunks))
         report["superseded"] = replaced.select("docid").distinct().count()
         report["chunks"] = chunks.count()
         report["failed"] = found.where("extraction_failed").count()

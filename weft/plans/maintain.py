@@ -12,6 +12,7 @@ from weft.operators.tables import forget, scoreboard, superseded
 from weft.plans import sparql
 from weft.plans.ingest import Providers, ingest
 from weft.plans.search import Retrieval
+from weft.plans.storage import materialize
 from weft.sources.walk import walk, with_identity
 
 
@@ -47,9 +48,8 @@ def verify(spark: SparkSession, options: Options, providers: Providers | None =
     found = compared(files, store.read("path"), doc)
     counts = {s: 0 for s in ("ok", "drifted", "missing", "unreadable", "unknown")} | {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
     if options.fix and counts["drifted"]:
-        drifted = [r["relpath"] for r in found.where("status = 'drifted'").toLocalIterator()]
         options.root = root
-        counts["fixed"] = ingest(spark, options, providers, only=drifted)["new"]
+        counts["fixed"] = ingest(spark, options, providers, only=materialize(found.where("status = 'drifted'").select("relpath"), "drifted"))["new"]
     return counts
 
 
@@ -75,10 +75,35 @@ def triples(store: Store) -> DataFrame:
     chunk = chunk.join(following, ["docid", "ordinal"], "left")
     entity = store.read("entity").select("chunk_id", F.col("label").alias("name"), "type")
     relation = store.read("relation").select("chunk_id", "seq", F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), "confidence")
-    return graph.triple_view(
+    derived = graph.triple_view(
         graph.doc_triples(store.read("doc").where("vacuumed = 0"), store.read("path"), chunk), graph.chunk_triples(chunk),
         graph.tag_triples(store.read("tagged")), graph.entity_triples(entity), graph.relation_triples(relation),
     )
+    if store.parts("withdrawn"):
+        derived = sparql.minus(derived, store.read("withdrawn"))
+    return derived.unionByName(store.read("stated")) if store.parts("stated") else derived
+
+
+def graph_update(spark: SparkSession, options: Options) -> dict:
+    """Commits an update of the graph: what it states or takes back is kept beside the tables that triples follow from."""
+    store = Store(spark, options.db)
+    with store:
+        now = triples(store)
+        form, change = sparql.change_of(now, options.query)
+        change = materialize(change, "graph-change")
+        key = sparql.TRIPLE_KEY
+        there = materialize(change.intersect(now.select(*key)), "graph-there")
+        new = there if form == "delete" else materialize(sparql.minus(change, there), "graph-new")
+        count = new.count()
+        if count:
+            stated, withdrawn = store.read("stated"), store.read("withdrawn")
+            if form == "insert":
+                back = materialize(new.intersect(withdrawn), "graph-back")  # taken back before: follows again
+                store.commit({"stated": stated.unionByName(sparql.minus(new, back)), "withdrawn": sparql.minus(withdrawn, back)})
+            else:
+                own = materialize(new.intersect(stated), "graph-own")
+                store.commit({"stated": sparql.minus(stated, own), "withdrawn": withdrawn.unionByName(sparql.minus(new, own)).distinct()})
+        return {form: count}
 
 
 def graph_query(spark: SparkSession, options: Options) -> DataFrame:

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from weft.operators.graph import ONTOLOGY, RDF_TYPE, XSD
 from weft.plans.storage import materialize
 
-MAX_PATH = 64
 PREFIXES = {"ch": ONTOLOGY, "kb": ONTOLOGY, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "xsd": XSD, "ql": "ql:"}
 CONTAINS_WORD, CONTAINS_ENTITY = "ql:contains-word", "ql:contains-entity"
 
@@ -650,27 +649,46 @@ class Compiler:
             return loops.unionByName(step).distinct()
         step = materialize(step, "path-step")
         reached, front = step, step
-        for _ in range(MAX_PATH):
+        while not front.isEmpty():  # ends: there are finitely many pairs
             longer = front.select("_a", F.col("_b").alias("_m")).join(step.select(F.col("_a").alias("_m"), "_b"), "_m").select("_a", "_b").distinct()
             front = materialize(longer.join(reached, ["_a", "_b"], "left_anti"), "path-front")
-            if front.isEmpty():
-                break
-            reached = materialize(reached.unionByName(front), "path-reached")
-        else:
-            raise SparqlError(f"a path of more than {MAX_PATH} steps")
+            reached = reached.unionByName(front)
         return reached if kind == "more" else loops.unionByName(reached).distinct()
 
+    def reached_from(self, p: tuple, start: str, backwards: bool) -> DataFrame:
+        """_a: the nodes that lead from ``start`` along the path, or to it. Only what is reached is ever joined."""
+        kind = p[0]
+        if kind == "inv":
+            return self.reached_from(p[1], start, not backwards)
+        if kind not in ("more", "any"):
+            near, far = ("_b", "_a") if backwards else ("_a", "_b")
+            return self.path_pairs(p).where(F.col(near) == start).select(F.col(far).alias("_a")).distinct()
+        step = self.path_pairs(p[1]).select(*([F.col("_b").alias("_m"), "_a"] if backwards else [F.col("_a").alias("_m"), F.col("_b").alias("_a")]))
+        step = materialize(step, "path-step")
+        front = materialize(step.where(F.col("_m") == start).select("_a").distinct(), "path-front")
+        reached = front
+        while not front.isEmpty():
+            front = materialize(step.join(front.select(F.col("_a").alias("_m")), "_m", "left_semi").select("_a").distinct().join(reached, "_a", "left_anti"), "path-front")
+            reached = reached.unionByName(front)
+        if kind == "any":
+            reached = reached.unionByName(self.spark.createDataFrame([(start,)], "_a string")).distinct()
+        return reached
+
     def _subject(self) -> Column:
         return F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(F.concat(F.lit("<"), F.col("s"), F.lit(">")))
 
     def pattern(self, s: tuple, p: tuple, o: tuple) -> Solutions:
         if p[0] in ("iri", "var"):
             return self.scan(s, ("term", p[1]) if p[0] == "iri" else p, o)
-        df = self.path_pairs(p)
+        if (s[0] == "term") != (o[0] == "term"):
+            backwards = o[0] == "term"
+            found = self.reached_from(p, o[1] if backwards else s[1], backwards)
+            name = s[1] if backwards else o[1]
+            return Solutions(found.select(F.col("_a").alias(name)), {name})
         if s[0] == "term":
-            df = df.where(F.col("_a") == s[1])
-        if o[0] == "term":
-            df = df.where(F.col("_b") == o[1])
+            found = self.reached_from(p, s[1], False).where(F.col("_a") == o[1])
+            return Solutions(found.select(F.lit(1).alias("_hit")).limit(1), set())
+        df = self.path_pairs(p)
         columns = {}
         if s[0] == "var":
             columns[s[1]] = F.col("_a")
@@ -977,8 +995,11 @@ def run(triples: DataFrame, text: str, keyword: Callable[[str, bool], DataFrame]
     raise SparqlError("an update is no query")
 
 
-def update(triples: DataFrame, text: str) -> DataFrame:
-    """The triples after INSERT DATA, DELETE DATA, INSERT ... WHERE, DELETE ... WHERE or DELETE WHERE."""
+TRIPLE_KEY = ["s", "p", "o", "o_kind", "o_datatype"]
+
+
+def change_of(triples: DataFrame, text: str) -> tuple[str, DataFrame]:
+    """("insert" or "delete", the distinct triples) of INSERT DATA, DELETE DATA, INSERT ... WHERE, DELETE ... WHERE or DELETE WHERE."""
     q = parse(text)
     if q.form not in ("insert", "delete"):
         raise SparqlError("a query is no update")
@@ -990,7 +1011,17 @@ def update(triples: DataFrame, text: str) -> DataFrame:
         if any(n[0] == "var" for t in q.template for n in t):
             raise SparqlError("DATA has no variables")
         change = as_triples(triples.sparkSession.createDataFrame(rows, "s string, p string, o string"))
-    if q.form == "insert":
-        return triples.unionByName(change).dropDuplicates(["s", "p", "o", "o_kind", "o_datatype"])
-    keys = ["s", "p", "o", "o_kind"]
-    return triples.join(change.select(*keys).distinct(), keys, "left_anti").select(*triples.columns)
+    return q.form, change.distinct()
+
+
+def minus(triples: DataFrame, gone: DataFrame) -> DataFrame:
+    """Triples without those of ``gone``; datatypes are compared too."""
+    gone = gone.select(*[F.col(c).alias(f"_{c}") for c in TRIPLE_KEY])
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TRIPLE_KEY))
+    return triples.join(gone, same, "left_anti")
+
+
+def update(triples: DataFrame, text: str) -> DataFrame:
+    """The triples after an update (see :func:`change_of`)."""
+    form, change = change_of(triples, text)
+    return triples.unionByName(minus(change, triples)) if form == "insert" else minus(triples, change)

@@ -3,11 +3,13 @@
 Intermediate results are written as Parquet into the folder that the cluster
 names in ``spark.checkpoint.dir`` (shared by all executors), so a lost executor
 never loses them and the planner sees real sizes afterwards. Only when the
-setting is absent, as in tests, a local folder is used.
+setting is absent and driver and executors are one process, as in tests, a folder
+of this machine is used.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +22,7 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weft-")
         spark.conf.set(CHECKPOINT_KEY, found)

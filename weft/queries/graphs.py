@@ -12,7 +12,7 @@ from weft.operators.keyword import bm25, keyword_hits, keyword_hits_many, postin
 from weft.plans import sparql
 from weft.plans.storage import materialize
 from weft.queries.manifest import _BASE, _chunk, _doc, _path
-from weft.queries.scalars import _sql_rel, _sql_slug
+from weft.queries.scalars import _STOPS, _sql_rel, _sql_slug
 from weft.sources.tables import table
 
 TERMS = ["measurement", "pipeline", "harbour"]
@@ -32,16 +32,25 @@ def _relations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "relation_ref").select("chunk_id", "seq", "subject", F.coalesce("predicate", F.lit("")).alias("predicate"), "object", "confidence").dropDuplicates(["chunk_id", "seq"])
 
 
-def _triples(spark: SparkSession, d: str) -> DataFrame:
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     t = _texts(spark, d)
-    doc = _doc(spark, d).where("vacuumed = 0")
-    chunk = _chunk(spark, d).where("docid is not null").select(F.col("chunkid").alias("chunk_id"), "docid", "ordinal")
+    return {
+        "path": _path(spark, d), "chunk": _chunk(spark, d).where("docid is not null").select(F.col("chunkid").alias("chunk_id"), "docid", "ordinal"), "chunk_text": t,
+        "tag": t.select("chunk_id", F.explode("tags").alias("label")), "entity": _entities(spark, d), "relation": _relations(spark, d),
+    }
+
+
+def _view(doc: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return G.triple_view(
-        G.doc_triples(doc, _path(spark, d), chunk), G.chunk_triples(t), G.tag_triples(t.select("chunk_id", F.explode("tags").alias("label"))),
-        G.entity_triples(_entities(spark, d)), G.relation_triples(_relations(spark, d)),
+        G.doc_triples(doc, t["path"], t["chunk"]), G.chunk_triples(t["chunk_text"]), G.tag_triples(t["tag"]), G.entity_triples(t["entity"]),
+        G.relation_triples(t["relation"]),
     )
 
 
+def _triples(spark: SparkSession, d: str) -> DataFrame:
+    return _view(_doc(spark, d).where("vacuumed = 0"), _tables(spark, d))
+
+
 def triples_by_predicate(spark: SparkSession, d: str) -> DataFrame:
     t = _triples(spark, d).where(F.col("p").startswith(G.ONTOLOGY) | (F.col("p") == G.RDF_TYPE))
     return t.groupBy("p").agg(F.count(F.lit(1)).alias("triples"))
@@ -53,9 +62,20 @@ def triples_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vacuum_live(spark: SparkSession, d: str) -> DataFrame:
-    """Triples that survive the three tests for superseded documents, by predicate."""
+    """Triples that are left without superseded documents, by predicate: what rests on their chunks goes with them."""
+    t = _tables(spark, d)
+    doc, live = G.live_tables(_doc(spark, d).where("vacuumed = 0"), **t)
+    left = G.triple_view(
+        G.doc_triples(doc, live["path"], live["chunk"]), G.chunk_triples(live["chunk_text"]), G.tag_triples(t["tag"], live["tag"]),
+        G.entity_triples(t["entity"], live["entity"]), G.relation_triples(t["relation"], live["relation"]),
+    )
+    return left.where(F.col("p").startswith(G.ONTOLOGY)).groupBy("p").agg(F.count(F.lit(1)).alias("triples"))
+
+
+def graph_vacuum(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the triples alone, as for a graph that has no tables: the three tests, and what is left of the nodes, by predicate."""
     t = materialize(_triples(spark, d), "triples")
-    left = G.live_triples(t).where(F.col("p").startswith(G.ONTOLOGY))
+    left = G.live_triples(t).where(F.col("p").isin([G.ONTOLOGY + x for x in ("checksum", "partOf", "text", "mentions", "evidencedBy", "locatedAt")]))
     return left.groupBy("p").agg(F.count(F.lit(1)).alias("triples"))
 
 
@@ -70,7 +90,7 @@ def hub_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
     """The chunks that a keyword search finds first."""
-    posting, lengths = postings(_texts(spark, d))
+    posting, lengths = postings(_texts(spark, d), begins=TERMS)
     hits = keyword_hits(materialize(posting, "postings"), materialize(lengths, "lengths"), TERMS, SEEDS)
     return materialize(hits.where(F.col("rank") <= SEEDS).select("chunk_id"), "seeds")
 
@@ -118,7 +138,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 def _sparql(text: str, kinds: dict[str, str] | None = None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         def words(word: str, beginning: bool) -> DataFrame:
-            posting, lengths = postings(_texts(spark, d))
+            posting, lengths = postings(_texts(spark, d), begins=[word])
             hits = bm25(posting if beginning else posting.where(F.col("term") == word), lengths, [word])
             said = sparql.term_of(F.col("text"), F.lit("literal"), F.lit(None).cast("string"))
             return hits.join(_texts(spark, d).select("chunk_id", "text"), "chunk_id").select(
@@ -126,7 +146,8 @@ def _sparql(text: str, kinds: dict[str, str] | None = None):
             )
 
         out = sparql.run(_triples(spark, d), "PREFIX ch: <kb://ontology#> " + text, words)
-        return out.select(*[F.col(c).cast(kinds[c]).alias(c) if kinds and c in kinds else F.col(c) for c in out.columns])
+        said = lambda c: F.round(F.col(c).cast("double"), 6) if kinds[c] == "double" and c.startswith("ql_score") else F.col(c).cast(kinds[c])
+        return out.select(*[said(c).alias(c) if kinds and c in kinds else F.col(c) for c in out.columns])
 
     return run
 
@@ -190,6 +211,20 @@ with r as (select {_sql_slug('subject')} s, {_sql_slug('object')} o from relatio
 select distinct 'kb://entity/' || s s, 'kb://ontology#near' p, 'kb://entity/' || o o from r where s <> o""",
     ),
     "sparql_ask": ('ASK { ?e ch:label "Aldermoor Archive" }', None, "select count(*) > 0 ask from entity_ref where name = 'Aldermoor Archive'"),
+    "sparql_count_star": (
+        "SELECT ?type (COUNT(*) AS ?n) WHERE { ?e ch:entityType ?type } GROUP BY ?type", {"n": "long"},
+        f"select type, count(distinct {_sql_slug('name')}) n from entity_ref where {_sql_slug('name')} <> '' and type is not null group by 1",
+    ),
+    "sparql_text_score": (
+        'SELECT ?chunk ?ql_score_t_var_text WHERE { ?t ql:contains-word "measur*" . ?t ql:contains-entity ?text . ?chunk ch:text ?text }', {"ql_score_t_var_text": "double"},
+        f"""
+with t as (select chunk_id, any_value(text) text from chunk_triples group by 1),
+tok as (select chunk_id, unnest(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) term from t),
+dl as (select chunk_id, count(*) dl from tok group by 1), hit as (select chunk_id, count(*)::double tf from tok where starts_with(term, 'measur') group by 1),
+st as (select (select count(*)::double from dl) n, (select avg(dl) from dl) avgdl, (select count(*)::double from hit) df),
+score as (select chunk_id, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) score from hit join dl using (chunk_id) cross join st)
+select 'kb://chunk/' || y.chunk_id chunk, round(score, 6) ql_score_t_var_text from score join t x using (chunk_id) join t y on y.text = x.text""",
+    ),
     "sparql_strings": (
         'SELECT ?e (UCASE(?l) AS ?big) (STRLEN(?l) AS ?n) WHERE { ?e a ch:Entity ; ch:label ?l . FILTER(REGEX(?l, "^lake", "i") || CONTAINS(?l, "River")) }', {"n": "int"},
         f"select e, upper(name) big, length(name)::int n from (select distinct 'kb://entity/' || {_sql_slug('name')} e, name from entity_ref where {_sql_slug('name')} <> '' and (regexp_matches(name, '(?i)^lake') or contains(name, 'River')))",
@@ -205,7 +240,7 @@ select 'kb://chunk/' || y.chunk_id chunk from w x join w y using (text)""",
 QUERIES = {
     f.__name__: f
     for f in (
-        triples_by_predicate, triples_written, vacuum_live, entity_df, hub_entities, comention, siblings, candidate_cards, relation_receipts, graph_expansion, context_budget,
+        triples_by_predicate, triples_written, vacuum_live, graph_vacuum, entity_df, hub_entities, comention, siblings, candidate_cards, relation_receipts, graph_expansion, context_budget,
     )
 } | {name: _sparql(text, kinds) for name, (text, kinds, _) in _SPARQL.items()}
 
@@ -224,7 +259,91 @@ seed as (select chunk_id from kw order by score desc, chunk_id limit {SEEDS}),
 hub as (select slug from m group by 1 having count(*) > greatest(2.0, 0.05 * (select count(*) from t where ordinal > 0)))"""
 _R = f"(select distinct on (chunk_id, seq) chunk_id, seq, {_sql_slug('subject')} s, coalesce({_sql_rel('predicate')}, 'related_to') p, {_sql_slug('object')} o, confidence from relation_ref)"
 
+
+
+def _sql_hop(n: int, front: str, seen: str) -> str:
+    return f"""
+own{n} as (select distinct slug from m where chunk_id in (select chunk_id from {front}) and slug not in (select slug from hub)),
+co{n} as (select chunk_id, count(distinct slug) shared from m where slug in (select slug from own{n}) and chunk_id not in (select chunk_id from {front})
+  and chunk_id not in (select chunk_id from {seen}) group by 1 order by shared desc, chunk_id limit {G.MAX_COMENTIONS}),
+beside{n} as (select distinct a.chunk_id from t a join t b on a.doc_id = b.doc_id and abs(a.ordinal - b.ordinal) = 1 and a.ordinal > 0
+  where b.chunk_id in (select chunk_id from {front}) and a.chunk_id not in (select chunk_id from {seen})),
+step{n} as (select chunk_id, {n}::int distance, max(shared)::bigint shared from (select * from co{n} union all select chunk_id, 0 from beside{n}) group by 1)"""
+
+
+_ESC = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t')"""
+
+
+def _sql_line(s: str, p: str, o: str, kind: str = "string") -> str:
+    """A statement as SQL text: s an IRI's tail or a node, p a predicate's name, o a value."""
+    subject = s if s.startswith("'_:") else f"'<kb://' || {s} || '>'"
+    if kind == "iri":
+        said = f"'<' || {o} || '>'"
+    elif kind == "string":
+        said = f"'\"' || {_ESC.format(o)} || '\"'"
+    else:
+        said = f"'\"' || {o} || '\"^^<{G.XSD}{kind}>'"
+    return f"{subject} || ' <{p if p.startswith('http') else G.ONTOLOGY + p}> ' || {said} || ' .'"
+
+
+def _sql_lines() -> str:
+    def lines(source: str, *triples: tuple) -> list[str]:
+        return [f"select {_sql_line(*t)} from {source} where {w}" for *t, w in triples]
+
+    d, c, tag, e, node = "'doc/' || docid", "'chunk/' || chunk_id", "'tag/' || slug", "'entity/' || slug", "'_:rel_' || replace(chunk_id, ':', '_') || '_' || seq"
+    a = G.RDF_TYPE
+    of = lambda kind, name: f"'kb://{kind}/' || {name}"
+    cls = lambda name: f"'{G.ONTOLOGY}{name}'"
+    parts = [
+        *lines("live", (d, a, cls("Document"), "iri", "true"), (d, "checksum", "docid", "string", "true"), (d, "bytes", "bytes", "integer", "true"), (d, "mime", "mime", "string", "true"),
+               (d, "ingestedAt", "strftime(ingested_at, '%Y-%m-%dT%H:%M:%SZ')", "dateTime", "true"), (d, "supersededBy", of("doc", "superseded_by"), "iri", "true")),
+        *lines("p", (d, "locatedAt", "relpath", "string", "true")), *lines("c", (d, "hasChunk", of("chunk", "chunkid"), "iri", "ordinal > 0 and docid is not null")),
+        *lines("t", (c, a, cls("Chunk"), "iri", "true"), (c, "partOf", of("doc", "doc_id"), "iri", "true"), (c, "ordinal", "ordinal", "integer", "true"), (c, "text", "text", "string", "true"),
+               (c, "summary", "summary", "string", "summary <> ''"), (c, "extractionFailed", "'true'", "boolean", "failed"),
+               (c, "nextChunk", of("chunk", "doc_id || ':' || format('{:04d}', ordinal + 1)"), "iri", "has_next")),
+        *lines("b", (c, "byteStart", "byte_start", "integer", "true"), (c, "byteEnd", "byte_end", "integer", "true")),
+        *lines("(select distinct chunk_id, slug from gt)", (c, "taggedWith", of("tag", "slug"), "iri", "true")), *lines("(select distinct slug from gt)", (tag, a, cls("Tag"), "iri", "true")),
+        *lines("(select distinct slug, tag from gt)", (tag, "label", "tag", "string", "true")), *lines("m", (c, "mentions", of("entity", "slug"), "iri", "true")),
+        *lines("(select distinct slug from m)", (e, a, cls("Entity"), "iri", "true")), *lines("(select distinct slug, name from e)", (e, "label", "name", "string", "true")),
+        *lines("(select distinct slug, type from e)", (e, "entityType", "type", "string", "true")),
+        *lines("r", (node, a, cls("Relation"), "iri", "true"), (node, "subject", of("entity", "s"), "iri", "true"), (node, "predicate", of("rel", "p"), "iri", "true"),
+               (node, "object", of("entity", "o"), "iri", "true"), (node, "evidencedBy", of("chunk", "chunk_id"), "iri", "true"), (node, "confidence", "format('{:.2f}', confidence)", "decimal", "true")),
+        "select distinct '<kb://entity/' || s || '> <kb://rel/' || p || '> <kb://entity/' || o || '> .' from r",
+    ]
+    return f"""
+with {_BASE}, {_T}, {_M}, live as (select * from d where vacuumed = 0), b as (select distinct chunk_id, byte_start, byte_end from chunk_triples),
+g as (select chunk_id, tag, {_sql_slug('tag')} slug from (select chunk_id, unnest(tags) tag from chunk_triples)), gt as (select * from g where slug <> ''),
+e as (select distinct {_sql_slug('name')} slug, name, type from entity_ref where {_sql_slug('name')} <> ''), r as (select * from {_R} where s <> '' and o <> '')
+select "value" from ({' union all '.join(parts)}) x("value") where "value" is not null"""
+
+
+_SAID = "list_filter(string_split(lower(regexp_replace(gloss, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_BUDGET = f"""
+with recursive {_T},
+tok as (select chunk_id, unnest(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) term from t),
+posting as (select term, chunk_id, count(*) tf from tok group by 1, 2), dl as (select chunk_id, count(*) dl from tok group by 1),
+qt as (select canon_id query_id, unnest(list_transform(list_sort(list_transform(
+    list_filter(list_distinct({_SAID}), lambda w: length(w) >= 3 and w not in ({_STOPS})),
+    lambda w: struct_pack(n := -length(w), i := list_position({_SAID}, w), w := w)))[1:6], lambda x: x.w)) q from canon),
+hit as (select q, chunk_id, sum(tf)::double tf from posting join (select distinct q from qt) on starts_with(term, q) group by 1, 2),
+df as (select q, count(*)::double df from hit group by 1), st as (select count(*)::double n, avg(dl) avgdl from dl),
+score as (select q, chunk_id, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) score
+  from hit join df using (q) join dl using (chunk_id) cross join st),
+top as (select * from (select *, row_number() over (partition by q order by score desc, chunk_id) r from score) where r <= 24),
+best as (select query_id, chunk_id, max(score) score from qt join top using (q) group by 1, 2),
+ranked as (select query_id, chunk_id, octet_length(encode(text)) size, row_number() over (partition by query_id order by score desc, chunk_id) rank from best join t using (chunk_id)),
+go as (
+  select distinct query_id, 0::bigint rank, 4096::bigint room, '' chunk_id, false taken from ranked
+  union all select r.query_id, r.rank, go.room - case when r.size <= go.room then r.size else 0 end, r.chunk_id, r.size <= go.room
+  from go join ranked r on r.query_id = go.query_id and r.rank = go.rank + 1)
+select query_id, chunk_id, (row_number() over (partition by query_id order by rank))::int n from go where taken"""
+
 ORACLES = {
+    "graph_expansion": f"""
+with {_SEED}, {_sql_hop(1, 'seed', 'seed')}, seen1 as (select chunk_id from seed union select chunk_id from step1), {_sql_hop(2, 'step1', 'seen1')}
+select * from step1 union all select * from step2""",
+    "context_budget": _BUDGET,
+    "triples_written": _sql_lines(),
     "triples_by_predicate": f"""
 with {_BASE}, {_T}, {_M}, live as (select * from d where vacuumed = 0),
 g as (select distinct chunk_id, tag, {_sql_slug('tag')} slug from (select chunk_id, unnest(tags) tag from chunk_triples)), gt as (select * from g where slug <> ''),
@@ -268,6 +387,15 @@ select x || k p, n triples from o, (
   union all select 'entityType', count(distinct (slug, type)) from e where type is not null
   union all select 'subject', count(*) from r union all select 'predicate', count(*) from r union all select 'object', count(*) from r
   union all select 'evidencedBy', count(*) from r union all select 'confidence', count(confidence) from r) where n > 0""",
+    "graph_vacuum": f"""
+with {_BASE}, {_T}, {_M}, live as (select * from d where vacuumed = 0), old as (select docid from live where superseded_by is not null),
+oc as (select chunk_id from t where doc_id in (select docid from old)),
+r as (select * from {_R} where s <> '' and o <> '' and chunk_id not in (select chunk_id from oc)),
+ld as (select * from live where superseded_by is null), lt as (select * from t where chunk_id not in (select chunk_id from oc)), o as (select 'kb://ontology#' x)
+select x || k p, n triples from o, (
+  select 'checksum' k, count(*) n from ld union all select 'locatedAt', count(*) from p where docid not in (select docid from old)
+  union all select 'partOf', count(*) from lt union all select 'text', count(text) from lt
+  union all select 'mentions', count(*) from m where chunk_id not in (select chunk_id from oc) union all select 'evidencedBy', count(*) from r) where n > 0""",
     "entity_df": f"with {_M} select slug, count(*) n from m group by 1",
     "hub_entities": f"with {_T}, {_M} select slug, count(*) n from m group by 1 having count(*) > greatest(2.0, 0.05 * (select count(*) from t where ordinal > 0))",
     "comention": f"""

@@ -54,7 +54,16 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, segment_cube, top_orders_per_customer, set_operations, event_windows, event_stream)}
+def event_window_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of event_windows by a stream with a watermark, in append mode: those that the watermark has passed come out, once."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    at = f"{work_dir(spark)}/weft/stream-{uuid.uuid4().hex}"
+    run_to_table(windowed(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "10 minutes", ["event_type"], "value"), f"{at}/rows", f"{at}/state")
+    return spark.read.parquet(f"{at}/rows").withColumn("total", F.round("total", 4))
+
+
+QUERIES = {f.__name__: f for f in (pricing_summary, segment_cube, top_orders_per_customer, set_operations, event_windows, event_stream, event_window_stream)}
 ORACLES = {
     "pricing_summary": """
 select l_returnflag, l_linestatus, round(sum(l_quantity), 2) sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) sum_disc_price, round(avg(l_discount), 6) avg_disc, count(*) n
@@ -67,5 +76,8 @@ from orders join customer on o_custkey = c_custkey group by cube (c_mktsegment,
 select nation, 'both' kind from (select c_nationkey nation from customer intersect select s_nationkey from supplier)
 union all select nation, 'customers only' from (select c_nationkey nation from customer except select s_nationkey from supplier)""",
     "event_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
+    "event_window_stream": """
+select * from (select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 4) total from events group by all)
+where window_start + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""",
     "event_stream": "select date_trunc('hour', ts) as hour, count(distinct event_id) n from events group by 1",
 }

@@ -18,24 +18,24 @@ TERMS = ["measurement", "pipeline", "harbour", "turbine", "railway", "storage"]
 K, KEEP = 24, 12
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    posting, chunk_len = postings(table(spark, d, "documents"), "doc_id")
+def _index(spark: SparkSession, d: str, begins: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    posting, chunk_len = postings(table(spark, d, "documents"), "doc_id", begins=begins)
     return materialize(posting, "postings"), materialize(chunk_len, "lengths")
 
 
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    posting, _ = _index(spark, d)
+    posting, _ = postings(table(spark, d, "documents"), "doc_id")
     return posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def keyword_prefix_max(spark: SparkSession, d: str) -> DataFrame:
     """The best BM25 score of any term for every document that has one."""
-    posting, lengths = _index(spark, d)
+    posting, lengths = _index(spark, d, TERMS)
     return bm25(posting, lengths, TERMS, "doc_id").groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    posting, lengths = _index(spark, d)
+    posting, lengths = _index(spark, d, TERMS)
     return keyword_hits(posting, lengths, TERMS, K, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -83,7 +83,7 @@ def vector_remove(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fused(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector hits fused; the vector leg asks with the least vector id."""
-    posting, lengths = _index(spark, d)
+    posting, lengths = _index(spark, d, TERMS)
     words = keyword_hits(posting, lengths, TERMS, K, "doc_id")
     vectors = table(spark, d, "embeddings")
     query = vectors.groupBy().agg(F.min_by("embedding", "vec_id").alias("query")).select(F.lit(0).alias("query_id"), "query")
