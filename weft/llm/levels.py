@@ -77,6 +77,10 @@ class Lists:
     starts: np.ndarray
     lang: np.ndarray
     share: np.ndarray
+    # made when first used, on each executor
+    gain: np.ndarray | None = None
+    absent: np.ndarray | None = None
+    sizes: np.ndarray | None = None
 
     def shares_of(self, lang: int) -> np.ndarray:
         """Share of the language's documents that hold each word; a last 0 for all other words."""
@@ -87,15 +91,16 @@ class Lists:
 
     def spoken(self, words: np.ndarray) -> int:
         """The language whose documents hold the most of these words (log shares, smoothed)."""
-        absent = np.log(0.5 / (self.docs + 1))
-        found = words[words < len(self.index)]
-        if len(self.languages) == 1 or not len(found):
-            return int(np.argmax(absent))
-        rows = np.concatenate([np.arange(self.starts[w], self.starts[w + 1]) for w in found])
-        lang = self.lang[rows]
-        score = len(words) * absent
-        np.add.at(score, lang, np.log((self.share[rows] * self.docs[lang] + 0.5) / (self.docs[lang] + 1)) - absent[lang])
-        return int(np.argmax(score))
+        if len(self.languages) == 1:
+            return 0
+        if self.gain is None:
+            self.absent = np.log(0.5 / (self.docs + 1))
+            self.gain = np.log((self.share * self.docs[self.lang] + 0.5) / (self.docs[self.lang] + 1)) - self.absent[self.lang]
+            self.sizes = np.append(np.diff(self.starts), 0)  # the last is that of words in no list
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        rows = np.repeat(self.starts[words] - (ends - sizes), sizes) + np.arange(ends[-1])
+        return int(np.argmax(len(words) * self.absent + np.bincount(self.lang[rows], self.gain[rows], len(self.languages))))
 
 
 def familiar_words(docs: DataFrame) -> Lists:
