@@ -89,6 +89,8 @@ class SegmentIndex:
         for length in range(max(k + 1, len(word) - k), len(word) + k + 1):
             for i, (start, size) in enumerate(_cuts(length, k + 1)):
                 for at in range(max(0, start - k), min(len(word) - size, start + k) + 1):
+                    if abs(at - start) + abs(len(word) - length - at + start) > k:
+                        continue
                     found = [word[at : at + size]]
                     if i < k and at + size < len(word):
                         found.append(word[at : at + size - 1] + word[at + size])
@@ -129,6 +131,9 @@ def _looked_up(strings: DataFrame, k: int, both_ways: bool) -> DataFrame:
     df = df.withColumn("_p", start).withColumn("_n", size)
     df = df.withColumn("_at", F.explode(F.sequence(F.col("_p") - k, F.col("_p") + k)))
     df = df.where((F.col("_at") >= 1) & (F.col("_at") + F.col("_n") - 1 <= F.col("_s")))
+    # the shift before a segment and what is left of the difference in length behind it take an edit each
+    shift = F.col("_at") - F.col("_p")
+    df = df.where(F.abs(shift) + F.abs(F.col("_s") - F.col("_l") - shift) <= k)
     part = lambda at, n: F.substring(F.col("key"), at, n)
     at, n, last = F.col("_at"), F.col("_n"), F.col("_at") + F.col("_n")
     found = F.array(
@@ -137,7 +142,7 @@ def _looked_up(strings: DataFrame, k: int, both_ways: bool) -> DataFrame:
         F.when((F.col("_i") > 0) & (at > 1), F.concat(part(at - 1, F.lit(1)), part(at + 1, n - 1))),
     )
     df = df.withColumn("_found", F.explode(F.array_distinct(F.array_compact(found))))
-    return df.select(F.xxhash64("ns", "_l", "_i", "_found").alias("_post"), "ns", "key").distinct()
+    return df.select(F.xxhash64("ns", "_l", "_i", "_found").alias("_post"), "ns", "key")
 
 
 def similar_pairs(strings: DataFrame, k: int = 2) -> DataFrame:
