@@ -23,8 +23,8 @@ from weft.plans.storage import materialize
 STEPS = 60
 TOLERANCE = 1e-7
 ROWS_A_SALT = 100_000
-#: Times that each source may change one copy to come nearer to its share.
-CORRECTIONS = 2
+#: Sources change one copy at a time until they miss their tokens by no more than this share, or no copy brings them nearer; so often at most.
+NEAR_ENOUGH, CORRECTIONS = 1e-4, 8
 #: A source that needs more of its capped tokens than this gives all it may.
 SATURATED = 0.999
 
@@ -78,12 +78,12 @@ def solve(groups: DataFrame, names: list[str], wanted: np.ndarray, mean_x: float
     return at[:d], at[d], STEPS, float(np.abs((grad - target)[:d] / wanted).max())
 
 
-def _corrected(rounded: DataFrame, wanted: dict[str, float]) -> DataFrame:
-    """One copy more or less, per source, of the document whose size is nearest to what the source lacks or has too much."""
+def _corrected(rounded: DataFrame, wanted: dict[str, float]) -> DataFrame | None:
+    """One copy more or less, per source, of the document whose size is nearest to what the source lacks or has too much; None if all are near enough."""
     have = {r["source"]: r["t"] for r in rounded.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
-    lack = {n: w - have.get(n, 0) for n, w in wanted.items()}
+    lack = {n: w - have.get(n, 0) for n, w in wanted.items() if abs(w - have.get(n, 0)) > NEAR_ENOUGH * w}
     if not lack:
-        return rounded
+        return None
     lacks = F.element_at(F.create_map(*[x for n, v in lack.items() for x in (F.lit(n), F.lit(float(v)))]), F.col("source"))
     off = F.abs(F.abs("lack") - F.col("tokens"))
     can = F.when(F.col("lack") > 0, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
@@ -92,6 +92,9 @@ def _corrected(rounded: DataFrame, wanted: dict[str, float]) -> DataFrame:
         .groupBy("source").agg(F.min(F.struct(off.alias("off"), "id", F.signum("lack").cast("int").alias("change"))).alias("p"))
         .select("p.id", "p.change")
     )
+    pick = materialize(pick, "mix-pick")  # one row per source at most
+    if not pick.count():
+        return None
     return materialize(
         rounded.join(F.broadcast(pick), "id", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change"), "mix-rounded"
     )
@@ -155,7 +158,10 @@ def mix(items: DataFrame, targets: DataFrame, id: str = "doc_id") -> tuple[DataF
     copies = F.when(F.col("rate") >= F.col("cap"), F.col("cap")).otherwise(copies).cast("int")
     rounded = materialize(placed.select("id", "source", "tokens", "rate", "cap", copies.alias("copies")), "mix-rounded")
     for _ in range(CORRECTIONS):
-        rounded = _corrected(rounded, {n: wanted[n] for n in free})
+        better = _corrected(rounded, {n: wanted[n] for n in free})
+        if better is None:
+            break
+        rounded = better
     chosen = materialize(rounded.where("copies > 0").select("id", "source", "tokens", "rate", "copies"), "mix-chosen")
 
     used = chosen.groupBy("source").agg(

@@ -68,9 +68,8 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_pruned": p5_pruned, "p5_groups": p5_groups}
-ORACLES = {
-    "p5_found": """
-with said as (
+_PAIRS = """
+said as (
   select distinct chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from chunk_triples where text is not null
 ), shingle as (
   select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s
@@ -78,8 +77,19 @@ with said as (
 ), size as (select chunk_id, count(*) n from shingle group by 1),
 common as (
   select x.chunk_id a, y.chunk_id b, count(*) c from shingle x join shingle y on x.s = y.s and x.chunk_id < y.chunk_id group by 1, 2
-)
-select a chunk_a, b chunk_b from common join size p on p.chunk_id = a join size q on q.chunk_id = b
-where c::double / (p.n + q.n - c) >= 0.6 - 1e-9
-"""
+), pair as (
+  select a, b, c = p.n and c = q.n same from common join size p on p.chunk_id = a join size q on q.chunk_id = b
+  where c::double / (p.n + q.n - c) >= 0.6 - 1e-9
+)"""
+ORACLES = {
+    "p5_found": f"with {_PAIRS} select a chunk_a, b chunk_b from pair",
+    "p5_groups": f"""
+with recursive {_PAIRS},
+both_ways as (select a, b, same from pair union all select b, a, same from pair),
+class as (select chunk_id, least(chunk_id, coalesce(min(b) filter (same), chunk_id)) head, count(b) filter (same) copies from size left join both_ways on a = chunk_id group by 1),
+link as (select distinct x.head u, y.head v from both_ways join class x on x.chunk_id = a join class y on y.chunk_id = b where not same),
+reach as (select head u, head v from class where head = chunk_id union select reach.u, link.v from reach join link on link.u = reach.v),
+top as (select u, min(v) group_id from reach group by 1)
+select chunk_id, group_id, (select count(*) from link where link.u = head) links, copies from class join top on top.u = head
+where copies > 0 or head in (select u from link)""",
 }

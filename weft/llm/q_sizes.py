@@ -59,6 +59,34 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Per option: documents placed, and what must not be: containers over the capacity, places that overlap or leave holes, documents cut without need or into wrong pieces."""
+    placed = materialize(p7_pack(spark, d), "pack-placed")
+    sizes = materialize(_sizes(spark, d).select("doc_id", F.col("tokens").alias("size")), "pack-sizes")
+    options = table(spark, d, "pack_option")
+    before = Window.partitionBy("option_name", "container").orderBy("place", "tokens", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = placed.withColumn("gap", F.col("place") != F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    held = gaps.groupBy("option_name", "container").agg(F.sum("tokens").alias("held"), F.max("unused").alias("unused"), F.sum(F.col("gap").cast("long")).alias("gaps"))
+    held = held.join(options, "option_name").groupBy("option_name").agg(
+        F.sum((F.col("held") > F.col("capacity_tokens")).cast("long")).alias("overfull"), F.sum((F.col("held") + F.col("unused") != F.col("capacity_tokens")).cast("long")).alias("miscounted"),
+        F.sum("gaps").alias("gaps"),
+    )
+    docs = placed.groupBy("option_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens")).join(sizes, "doc_id").join(options, "option_name")
+    good = (F.col("tokens") == F.col("size")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens"))))
+    docs = docs.groupBy("option_name").agg(F.count(F.lit(1)).alias("documents"), F.sum((~good).cast("long")).alias("badly_cut"))
+    return docs.join(held, "option_name")
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: the share it was to give, whether the mix gives it but for less than one document, and whether no record is used too often."""
+    chosen, shares = mix(_sizes(spark, d), table(spark, d, "mix_target"))
+    total, largest = chosen.agg(F.sum(F.col("tokens") * F.col("copies")), F.max("tokens")).first()
+    return shares.select(
+        "source", F.round("wanted_share", 9).alias("wanted_share"), (F.abs(F.col("tokens") - F.col("wanted_share") * (total or 0)) <= (largest or 0)).alias("given"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"),
+    )
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), table(spark, d, "mix_target"))[0]
 
@@ -67,5 +95,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sizes(spark, d), table(spark, d, "mix_target"))[1]
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_windows": p7_windows, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p7_pack": p7_pack, "p7_windows": p7_windows, "p7_unused": p7_unused, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_whole": p7_whole, "p8_kept": p8_kept}
+ORACLES = {
+    "p7_whole": """
+select option_name, (select count(distinct doc_id) from documents) documents, 0::bigint badly_cut, 0::bigint overfull, 0::bigint miscounted, 0::bigint gaps
+from pack_option where (select count(*) from documents) > 0""",
+    "p8_kept": """
+with own as (select source from mix_target where source in (select source from documents where text <> ''))
+select source, round(case when source in (select * from own) then weight / (select sum(weight) from mix_target where source in (select * from own)) else 0 end, 9) wanted_share,
+  true given, true within_cap from mix_target""",
+}
