@@ -200,3 +200,79 @@ def test_quantized(spark):
     df = encoded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>"), "v")
     top = df.select("id", estimated("code", x[7].tolist()).alias("s")).orderBy("s", ascending=False).first()
     assert top.id == 7
+
+
+def test_graph_updates_are_kept(spark, tree):
+    from weft.api import Engine
+
+    e = Engine(spark, str(tree / "db"))
+    e.ingest(str(tree / "t"))
+    names = lambda: sorted(r.o for r in e.graph.sparql('SELECT ?o { <kb://entity/x> ch:label ?o }').collect())
+    new = 'INSERT DATA { <kb://entity/x> ch:label "Ex" , "Why" . <kb://entity/x> ch:label "Ex" }'
+    assert e.graph.update(new) == {"insert": 2} and e.graph.update(new) == {"insert": 0}
+    assert names() == ["Ex", "Why"]
+    assert e.graph.update('DELETE DATA { <kb://entity/x> ch:label "Why" . <kb://entity/x> ch:label "none" }') == {"delete": 1}
+    assert names() == ["Ex"]
+    # a triple that follows from the tables is taken back, and follows again
+    chunks = e.graph.sparql("SELECT ?c { ?c a ch:Chunk }").count()
+    assert e.graph.update("DELETE WHERE { ?c a ch:Chunk }") == {"delete": chunks} and e.graph.sparql("SELECT ?c { ?c a ch:Chunk }").count() == 0
+    back = "INSERT { ?c a ch:Chunk } WHERE { ?c ch:partOf ?d }"
+    assert e.graph.update(back) == {"insert": chunks} and e.graph.sparql("SELECT ?c { ?c a ch:Chunk }").count() == chunks
+    assert e.store.read("withdrawn").count() == 0
+    # an ingest keeps what was stated
+    put(tree / "t", more_dot_txt="One more about the harbour.")
+    e.ingest(str(tree / "t"))
+    assert names() == ["Ex"]
+    o = options(tree)
+    maintain.graph_export(spark, o, str(tree / "out"))
+    assert maintain.graph_load(spark, o, str(tree / "out")) == {"loaded": 0}
+    put(tree, more_dot_ttl='<kb://entity/x> <kb://ontology#label> "Zed" .\n')
+    assert maintain.graph_load(spark, o, str(tree / "more.ttl")) == {"loaded": 1} and names() == ["Ex", "Zed"]
+
+
+def test_a_commit_that_lacks_rows_is_dropped(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+
+    def lacking():
+        assert store.read("meta").count() == 1
+        raise RuntimeError("too few")
+
+    with pytest.raises(RuntimeError):
+        store.commit({"meta": store.meta_table(a="b")}, check=lacking)
+    assert store.version == 0 and store.read("meta").count() == 0
+
+
+def test_few_bits(spark, tree):
+    from weft.api import Engine
+
+    e = Engine(spark, str(tree / "db"))
+    e.ingest(str(tree / "t"), vector_bits=4)
+    assert e.store.read("vector").count() == 0 and e.store.read("vector_code").count() == 4 and e.status()["vector_bits"] == "4"
+    put(tree / "t", more_dot_txt="The lighthouse keeper of the northern island.")
+    e.ingest(str(tree / "t"))  # stays at its bits
+    assert e.store.read("vector_code").count() == 5
+    assert e.search("Who founded Radium Institute?")["verification"][0]["verdict"] == "verified"
+    best = e.retrieve.vector("The lighthouse keeper of the northern island.", 3).orderBy("rank").collect()
+    assert len(best) == 3 and best[0].score > 0.9
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    from weft.operators.vectors import nearest
+
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, x[0].tolist()), (61, None), (62, [0.0] * 8), (63, [1.0]), (64, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = df.where("id < 9 or id > 60").selectExpr("id query_id", "embedding query")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    wanted = {}
+    for q in range(9):
+        score = np.round(unit[q] @ np.vstack([unit, unit[:1]]).T, 9)
+        wanted[q] = [int(i) for i in np.lexsort((np.arange(61), -score))[:5]]
+    for block in (4, 100):
+        got = {}
+        for r in nearest(asked, df, "id", 5, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert {q: got[q] for q in wanted} == wanted and set(got) == {*wanted, 63}  # 63 has one component, and only itself beside it
+    assert nearest(asked.limit(0), df, "id", 5).count() == 0 and nearest(asked, df, "id", 5, allowed=df.limit(0)).count() == 0

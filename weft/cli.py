@@ -1,4 +1,4 @@
-"""Command line: python -m weft.cli [ingest] DIR | --search QUESTION | --search-file FILE | status | verify | vacuum | sparql QUERY | update UPDATE"""
+"""Command line: python -m weft.cli [ingest] DIR | --search QUESTION | --search-file FILE | status | verify | vacuum | sparql QUERY | update UPDATE | load FILE | export FOLDER"""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from weft.plans.shipping import ship_package
 from weft.plans.sparql import SparqlError
 from weft.sources.walk import DB_DIR
 
-COMMANDS = ("ingest", "status", "verify", "vacuum", "sparql", "update")
+COMMANDS = ("ingest", "status", "verify", "vacuum", "sparql", "update", "load", "export")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fix", action="store_true")
     p.add_argument("--json", action="store_true")
     p.add_argument("--include-superseded", action="store_true")
+    p.add_argument("--vector-bits", type=int, default=32, choices=(2, 3, 4, 32), help="bits of a vector's component; the first ingest decides")
     p.add_argument("--threads", type=int, default=0, help="ignored: Spark decides")
     p.add_argument("--gpu", default="", help="ignored")
     p.add_argument("--version", action="version", version=__version__)
@@ -49,8 +50,9 @@ def options_of(args: argparse.Namespace) -> tuple[str, Options]:
     o = Options(
         include=args.include, exclude=args.exclude, k=args.k, hops=args.hops, ctx_budget=args.ctx_budget, paranoid=args.paranoid, fix=args.fix,
         json=args.json, include_superseded=args.include_superseded,
+        vector_bits=args.vector_bits,
     )
-    if command in ("sparql", "update"):
+    if command in ("sparql", "update", "load", "export"):
         o.query = words.pop(0) if words else sys.stdin.read()
     if command == "search":
         o.query, o.query_file = args.search or "", args.search_file or ""
@@ -83,6 +85,8 @@ def main(argv: list[str] | None = None) -> int:
                 print(line)
         elif command == "update":
             print(json.dumps(maintain.graph_update(spark, o)))
+        elif command in ("load", "export"):
+            print(json.dumps(getattr(maintain, f"graph_{command}")(spark, o, o.query)))
         else:
             print(json.dumps(getattr(maintain, command)(spark, o), default=str))
     except (Locked, SparqlError, ValueError) as e:

@@ -15,7 +15,7 @@ COMMITTED = STAGES["committed"]
 
 _KINDS = {
     "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-    "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType()),
+    "timestamp": T.TimestampType(), "binary": T.BinaryType(), "array<float>": T.ArrayType(T.FloatType()),
 }
 
 
@@ -34,6 +34,7 @@ TABLES: dict[str, T.StructType] = {
         "extraction_failed boolean"
     ),
     "vector": _schema("chunk_id string, docid string, modality string, embedding array<float>"),
+    "vector_code": _schema("chunk_id string, docid string, modality string, code binary"),  # instead of vector, in a database of few bits
     "mention": _schema("chunk_id string, slug string"),
     "entity": _schema("chunk_id string, slug string, label string, type string"),
     "tagged": _schema("chunk_id string, slug string, label string"),
@@ -67,3 +68,5 @@ class Options:
     fix: bool = False
     json: bool = False
     include_superseded: bool = False
+    #: Bits that a component of a vector is kept with: 32, or 2 to 4. Set by the first ingest of a database.
+    vector_bits: int = 32

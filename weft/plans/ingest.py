@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.native import ChunkOptions, chunk_udf, strip_html
+from weft.functions.quantize import encoded
 from weft.functions.text import rel_slug, slugify
 from weft.model import COMMITTED, Options
 from weft.operators.keyword import postings
@@ -207,8 +208,10 @@ def ingest(
             vectors = vectors.unionByName(media)
             raw = media.select("chunk_id", "docid", F.lit(0).alias("ordinal"), "modality")
             full_chunk = full_chunk.unionByName(raw, allowMissingColumns=True)
-        added = {"chunk": full_chunk, "vector": vectors, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
-        changes = {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root)}
+        bits = int(meta.get("vector_bits", options.vector_bits))
+        kept = {"vector": vectors} if bits == 32 else {"vector_code": encoded(vectors, "embedding", bits)}
+        added = {"chunk": full_chunk, **kept, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
+        changes = {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root, vector_bits=str(bits))}
         store.commit(changes, added, check=lambda: _whole(store, chunks))
         report["superseded"] = replaced.select("docid").distinct().count()
         report["chunks"] = chunks.count()

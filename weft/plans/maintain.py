@@ -13,6 +13,7 @@ from weft.plans import sparql
 from weft.plans.ingest import Providers, ingest
 from weft.plans.search import Retrieval
 from weft.plans.storage import materialize
+from weft.sources.turtle import read_turtle, write_turtle
 from weft.sources.walk import walk, with_identity
 
 
@@ -63,7 +64,7 @@ def vacuum(spark: SparkSession, options: Options) -> dict:
         if count:
             new_doc, new_path, new_chunk = forget(doc, path, chunk, ids)
             gone = chunk.join(ids, "docid", "left_semi").select("chunk_id")
-            rest = {t: store.read(t).join(gone, "chunk_id", "left_anti") for t in ("vector", "mention", "entity", "tagged", "relation", "posting", "chunk_len")}
+            rest = {t: store.read(t).join(gone, "chunk_id", "left_anti") for t in ("vector", "vector_code", "mention", "entity", "tagged", "relation", "posting", "chunk_len")}
             store.commit({"doc": new_doc, "path": new_path, "chunk": new_chunk, **rest})  # each table is one folder again
         return {"vacuumed": count, "folders": store.clean()}
 
@@ -106,6 +107,23 @@ def graph_update(spark: SparkSession, options: Options) -> dict:
         return {form: count}
 
 
+def graph_load(spark: SparkSession, options: Options, path: str) -> dict:
+    """Adds the statements of a Turtle file that the graph does not hold yet."""
+    store = Store(spark, options.db)
+    with store:
+        new = materialize(sparql.minus(read_turtle(spark, path).distinct(), triples(store).select(*sparql.TRIPLE_KEY)), "graph-loaded")
+        count = new.count()
+        if count:
+            store.commit({}, {"stated": new})
+        return {"loaded": count}
+
+
+def graph_export(spark: SparkSession, options: Options, path: str) -> dict:
+    """Writes the graph as a folder of text, one statement per line."""
+    write_turtle(triples(Store(spark, options.db)), path)
+    return {"exported": path}
+
+
 def graph_query(spark: SparkSession, options: Options) -> DataFrame:
     store = Store(spark, options.db)
     words = Retrieval(store, Providers.default(), include_superseded=True).word_search()

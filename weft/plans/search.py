@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.native import fit_budget, tap_file
+from weft.functions.quantize import estimated
 from weft.functions.text import BYTES_PER_TOKEN, cited_numbers
 from weft.model import SCHEME, Options
 from weft.operators.fusion import fuse, media_to_text
 from weft.operators.graph import cards, expand, receipts
-from weft.operators.keyword import bm25, keyword_hits, query_terms
+from weft.operators.keyword import bm25, keyword_hits, query_terms, ranked
 from weft.operators.store import Store
 from weft.operators.tables import live
 from weft.operators.vectors import nearest
@@ -35,10 +36,18 @@ class Retrieval:
     def chunks(self) -> DataFrame:
         return self.store.read("chunk").join(self.docs.select("docid"), "docid", "left_semi")
 
+    def _near(self, vector: list[float], k: int, modality: str) -> DataFrame:
+        """chunk_id, score, rank among the vectors of live documents; estimated from codes where the database keeps these."""
+        bits = int(self.store.meta().get("vector_bits", 32))
+        mine = lambda table: self.store.read(table).where(F.col("modality") == modality).join(self.docs.select("docid"), "docid", "left_semi")
+        if bits < 32:
+            scored = mine("vector_code").select("chunk_id", estimated("code", vector, bits).alias("score"))
+            return ranked(scored.orderBy(F.desc("score"), "chunk_id").limit(k), "score", "chunk_id")
+        query = self.spark.createDataFrame([(0, vector)], "query_id int, query array<float>")
+        return nearest(query, mine("vector"), "chunk_id", k).select("chunk_id", "score", "rank")
+
     def vector(self, text: str, k: int, modality: str = "text") -> DataFrame:
-        query = self.spark.createDataFrame([(0, self.providers.embedder.embed([text])[0])], "query_id int, query array<float>")
-        allowed = self.store.read("vector").where(F.col("modality") == modality).join(self.docs.select("docid"), "docid", "left_semi")
-        return nearest(query, allowed, "chunk_id", k).select("chunk_id", "score", "rank")
+        return self._near(self.providers.embedder.embed([text])[0], k, modality)
 
     def keyword(self, text: str, k: int) -> DataFrame:
         query = self.spark.createDataFrame([(0, text)], "query_id int, query string")
@@ -49,9 +58,7 @@ class Retrieval:
 
     def media(self, vector: list[float], modality: str, k: int) -> DataFrame:
         """Documents whose raw image or sound is near, as their first text chunk."""
-        query = self.spark.createDataFrame([(0, vector)], "query_id int, query array<float>")
-        allowed = self.store.read("vector").where(F.col("modality") == modality).join(self.docs.select("docid"), "docid", "left_semi")
-        return media_to_text(nearest(query, allowed, "chunk_id", k).select("chunk_id", "score", "rank"))
+        return media_to_text(self._near(vector, k, modality))
 
     def fused(self, text: str, k: int, keep: int, media: tuple[list[float], str] | None = None) -> DataFrame:
         legs = {"vector": materialize(self.vector(text, k), "leg"), "keyword": materialize(self.keyword(text, k), "leg")}
