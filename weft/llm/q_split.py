@@ -20,8 +20,10 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
         (F.col("max_tokens") * BYTES_PER_TOKEN).alias("limit"),
         F.floor(F.col("target_tokens") * BYTES_PER_TOKEN * F.col("overlap")).cast("int").alias("overlap"),
     )
-    listed = [r["option"] for r in options.select("option").collect()]
-    smallest = options.agg(F.min("limit")).first()[0]
+    known = {r["option"]: (r["limit"], r["overlap"]) for r in options.collect()}  # one row per mime
+    # documents whose option is the same as that of every other mime need not be known
+    listed = [m for m, x in known.items() if m != "*" and x != known.get("*")]
+    smallest = min((limit for limit, _ in known.values() if limit is not None), default=0)
     docs = table(spark, d, "doc").groupBy("docid").agg(F.max_by("mime", "loaded_at").alias("mime")).select(
         F.col("docid").alias("doc_id"), F.when(F.col("mime").isin(listed), F.col("mime")).alias("option")
     )
@@ -34,7 +36,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = lookup(long, docs, ["doc_id"], "left").withColumn("option", F.coalesce("option", F.lit("*")))
     lead = F.when((F.col("lead") >= 0) & (F.col("lead") <= F.col("first")), F.col("lead")).otherwise(0)
-    return rows.join(F.broadcast(options), "option").withColumn("base", F.col("first") - lead)
+    return lookup(rows, options, ["option"]).withColumn("base", F.col("first") - lead)
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
