@@ -74,11 +74,13 @@ def find_orphans(
     refs = refs.select("tab", "row_key", "ref_key", "loaded_at", "late").distinct().withColumn(
         "period", F.date_format("loaded_at", period_format)
     )
-    known = (
+    refs = materialize(refs, "orphan-refs")  # read three times below
+    known = materialize(
         records.select(tidy_key(F.col(key)).alias("ref_key"), F.col(loaded_at).alias("_at"), deleted.alias("_del"))
         .where(F.col("ref_key").isNotNull())
         .groupBy("ref_key")
-        .agg(F.min("_at").alias("first_at"), F.max(F.coalesce("_del", F.lit(False))).alias("is_deleted"))
+        .agg(F.min("_at").alias("first_at"), F.max(F.coalesce("_del", F.lit(False))).alias("is_deleted")),
+        "orphan-records",
     )
     groups = materialize(
         refs.groupBy("ref_key", "tab", "period").agg(
