@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weft.plans.lookup import lookup
 from weft.plans.storage import materialize
 
 #: Newton steps at most; shares say how many were taken and how far the rates are from their targets after them.
@@ -122,7 +123,7 @@ def mix(items: DataFrame, targets: DataFrame, id: str = "doc_id") -> tuple[DataF
         .select("source", "t.weight", "t.cap")
     )
     items = items.select(F.col(id).alias("id"), "source", F.col("tokens").cast("long").alias("tokens")).where("id is not null and tokens > 0").distinct()
-    items = materialize(items.join(F.broadcast(targets.where("weight > 0 and cap >= 1")), "source"), "mix-items")
+    items = materialize(lookup(items, materialize(targets.where("weight > 0 and cap >= 1"), "mix-targets"), ["source"]), "mix-items")
     own = {r["source"]: r for r in items.groupBy("source").agg(F.sum("tokens").alias("t"), F.first("weight").alias("w"), F.first("cap").alias("cap")).collect()}
     names = sorted(own)
     weight = sum(own[n]["w"] for n in names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.plans.lookup import lookup
+from weft.plans.lookup import broadcast_if_small, lookup
 from weft.plans.storage import materialize
 
 #: Tokens that one task packs.
@@ -132,7 +132,8 @@ def pack(items: DataFrame, options: DataFrame, id: str = "doc_id", source: str =
     items = materialize(items, "pack-items")
     salts = max(1, items.count() // ROWS_A_SALT)
     options = options.select("option_name", F.col("capacity_tokens").cast("long").alias("capacity")).where("capacity > 0").distinct()
-    each = items.crossJoin(F.broadcast(options)).withColumn(  # every item once per option
+    options = materialize(options, "pack-options")
+    each = items.crossJoin(broadcast_if_small(options)).withColumn(  # every item once per option
         "rest", F.when(F.col("tokens") <= F.col("capacity"), F.col("tokens")).otherwise(F.col("tokens") % F.col("capacity"))
     )
     each = each.withColumn("order", F.xxhash64("id")).withColumn("salt", F.pmod("order", F.lit(salts)))
