@@ -87,3 +87,34 @@ def test_errors(g, text):
 def test_text_needs_an_index(g):
     with pytest.raises(SparqlError):
         run(g, 'SELECT ?t { ?t ql:contains-word "x*" }')
+
+
+def test_exists_inside_expressions(g):
+    assert ask(g, "SELECT ?x { ?x ch:knows ?y FILTER(EXISTS { ?x ch:age ?a } && ?y != <kb://e/c>) }") == [e("a")]
+    assert ask(g, "SELECT ?x { ?x ch:knows ?y FILTER(NOT EXISTS { ?x ch:age ?a } || EXISTS { ?x ch:name 'Bob' }) }") == [e("b"), e("c"), e("d")]
+    assert ask(g, "SELECT ?x { ?x ch:knows ?y FILTER(!EXISTS { ?x ch:age ?a }) }") == [e("c"), e("d")]
+    with pytest.raises(SparqlError):
+        run(g, "SELECT (EXISTS { ?x ch:age ?a } AS ?b) { ?x ch:knows ?y }")
+
+
+def test_describe(g):
+    own = [t for t in DATA if t[0] == "kb://e/b"]
+    assert ask(g, "DESCRIBE <kb://e/b>") == sorted(t[:3] for t in own)
+    assert {r[0] for r in ask(g, "DESCRIBE ?x WHERE { ?x ch:age ?a }")} == {"kb://e/a", "kb://e/b"}
+    assert {r[0] for r in ask(g, "DESCRIBE * { <kb://e/c> ch:knows ?x }")} == {"kb://e/a"}
+    assert ask(g, "DESCRIBE <kb://e/none>") == []
+    with pytest.raises(SparqlError):
+        run(g, "DESCRIBE")
+
+
+def test_relative_iris(g):
+    assert ask(g, "BASE <kb://e/x> SELECT ?y { <a> ch:knows ?y }") == [e("b")]
+    assert ask(g, "BASE <kb://ontology/> PREFIX o: <../ontology#> SELECT ?y { <kb://e/a> o:knows ?y }") == []
+    assert ask(g, "BASE <kb://e/deep/er> SELECT ?y { <../a> <kb://ontology#knows> ?y }") == [e("b")]
+
+
+def test_paths_from_either_end(g):
+    assert ask(g, "SELECT ?x { ?x ch:knows+ <kb://e/a> }") == [e("a"), e("b"), e("c")]
+    assert ask(g, "SELECT ?x { ?x ch:knows* <kb://e/none> }") == [e("none")]
+    assert ask(g, "ASK { <kb://e/a> ch:knows+ <kb://e/c> }") == [(True,)] and ask(g, "ASK { <kb://e/a> ch:knows+ <kb://e/d> }") == [(False,)]
+    assert ask(g, "SELECT ?x { <kb://e/a> (^ch:knows)+ ?x }") == [e("a"), e("b"), e("c")]

@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,7 +155,7 @@ AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 
 class Parser:
     def __init__(self, text: str):
-        self.toks, self.at, self.prefixes, self.fresh = _tokens(text), 0, dict(PREFIXES), 0
+        self.toks, self.at, self.prefixes, self.fresh, self.base = _tokens(text), 0, dict(PREFIXES), 0, ""
 
     def peek(self, ahead: int = 0) -> tuple[str, str]:
         return self.toks[self.at + ahead] if self.at + ahead < len(self.toks) else ("end", "")
@@ -205,11 +206,19 @@ class Parser:
     def prologue(self) -> None:
         while self.is_word("PREFIX", "BASE"):
             if self.word("BASE"):
-                self.next()
+                self.base = self.iri(self.next()[1])[1:-1]
                 continue
             self.word("PREFIX")
             name = self.next()[1]
-            self.prefixes[name[:-1]] = self.next()[1][1:-1]
+            self.prefixes[name[:-1]] = self.iri(self.next()[1])[1:-1]
+
+    def iri(self, text: str) -> str:
+        """A written IRI; a relative one is resolved against BASE, and stays as it is without one."""
+        name = text[1:-1]
+        if not self.base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", name):
+            return text
+        scheme, rest = self.base.split(":", 1)
+        return f"<{scheme}:{urljoin('http:' + rest, name)[5:]}>"  # the rules are those of http for any scheme
 
     def form(self) -> Query:
         q = Query()
@@ -220,6 +229,16 @@ class Parser:
         elif self.word("CONSTRUCT"):
             q.form = "construct"
             q.template = self.template()
+        elif self.word("DESCRIBE"):
+            q.form = "describe"
+            while self.peek()[0] in ("var", "iri", "pname"):
+                q.template.append(self.node())
+            if self.op("*"):
+                q.star = True
+            if not q.template and not q.star:
+                raise SparqlError("DESCRIBE names nothing")
+            if not self.is_word("WHERE") and self.peek() != ("op", "{"):
+                return q
         elif self.word("INSERT", "DELETE"):
             q.form = self.peek(-1)[1].lower()
             if self.word("DATA"):
@@ -389,7 +408,7 @@ class Parser:
         if kind == "var":
             return "var", text[1:]
         if kind == "iri":
-            return "term", text
+            return "term", self.iri(text)
         if kind == "pname":
             return "term", f"<{self.expand(text)}>"
         if kind == "node":
@@ -508,7 +527,9 @@ class Parser:
         if self.peek() == ("op", "("):
             return self.bracketed()
         if self.is_word("NOT", "EXISTS"):
-            raise SparqlError("EXISTS stands only directly after FILTER")
+            negative = self.word("NOT")
+            self.need_word("EXISTS")
+            return "exists", self.group(), not negative
         kind, text = self.peek()
         called = self.peek(1) == ("op", "(")
         if kind == "word" and called and text.upper() in AGGREGATES:
@@ -763,14 +784,36 @@ class Compiler:
         got = got or self.unit()
         for part in later:
             if part[0] == "filter":
-                got = Solutions(got.df.where(self.value(part[1], got.names).truth()), got.sure, got.maybe)
+                got = self.filtered(got, part[1])
             else:
-                inner = self.group(part[1])
-                shared = got.names & inner.names
-                inner = Solutions(inner.df.select(*sorted(shared)).distinct() if shared else inner.df.limit(1), inner.sure & shared, inner.maybe & shared)
-                got = self.join(got, inner, "left_semi" if part[2] else "left_anti")
+                got = self.join(got, self.tested(got, part[1]), "left_semi" if part[2] else "left_anti")
         return got
 
+    def tested(self, got: Solutions, g: Group) -> Solutions:
+        """What an EXISTS group must agree with."""
+        inner = self.group(g)
+        shared = got.names & inner.names
+        return Solutions(inner.df.select(*sorted(shared)).distinct() if shared else inner.df.limit(1), inner.sure & shared, inner.maybe & shared)
+
+    def filtered(self, got: Solutions, e: tuple) -> Solutions:
+        """Solutions for which an expression is true. Each EXISTS in it splits them into those it holds for and the others, which are marked."""
+        marks: list[str] = []
+
+        def marked(x):
+            nonlocal got
+            if isinstance(x, tuple) and x[:1] == ("exists",):
+                inner, name = self.tested(got, x[1]), f"_exists{len(marks)}"
+                parts = [self.join(got, inner, how).df.select(*got.df.columns, F.lit(holds == x[2]).alias(name)) for how, holds in (("left_semi", True), ("left_anti", False))]
+                marks.append(name)
+                got = Solutions(parts[0].unionByName(parts[1]), got.sure, got.maybe)
+                return "col", Value(F.col(name), "bool")
+            if isinstance(x, tuple):
+                return tuple(marked(y) for y in x)
+            return [marked(y) for y in x] if isinstance(x, list) else x
+
+        e = marked(e)
+        return Solutions(got.df.where(self.value(e, got.names).truth()).drop(*marks), got.sure, got.maybe)
+
     def _optional_condition(self, left: Solutions, right: Solutions, conditions: list[tuple]) -> Column:
         names = left.names | right.names
         return reduce(lambda a, b: a & b, (self.value(c, names).truth() for c in conditions))
@@ -963,6 +1006,19 @@ class Compiler:
 
         return lambda e, names: self.value(swap(e), names)
 
+    def describe(self, q: Query) -> DataFrame:
+        """s, p, o as terms: all triples of the named resources, and of what the named variables are bound to."""
+        terms = [n[1] for n in q.template if n[0] == "term"]
+        found = self.spark.createDataFrame([(x,) for x in terms], "node string")
+        if q.where.parts:
+            got = self.group(q.where)
+            names = sorted(got.names) if q.star else [n[1] for n in q.template if n[0] == "var" and n[1] in got.names]
+            for name in names:
+                found = found.unionByName(self._cut(got.df.select(F.col(name).alias("node")), q))
+        node = found.where("node is not null").distinct()
+        t = self.triples.select(self._subject().alias("s"), F.concat(F.lit("<"), "p", F.lit(">")).alias("p"), term_of(F.col("o"), F.col("o_kind"), F.col("o_datatype")).alias("o"))
+        return t.join(node, t.s == node.node, "left_semi").distinct()
+
     def construct(self, q: Query) -> DataFrame:
         """s, p, o as terms; the solutions' distinct triples without those that have an unbound part."""
         got = self.group(q.where)
@@ -982,7 +1038,7 @@ def as_triples(terms: DataFrame) -> DataFrame:
 
 
 def run(triples: DataFrame, text: str, keyword: Callable[[str, bool], DataFrame] | None = None) -> DataFrame:
-    """A query's result with its values as plain text: SELECT its variables, ASK one boolean ``ask``, CONSTRUCT s, p, o."""
+    """A query's result with its values as plain text: SELECT its variables, ASK one boolean ``ask``, CONSTRUCT and DESCRIBE s, p, o."""
     q = parse(text)
     c = Compiler(triples, keyword)
     if q.form == "select":
@@ -990,8 +1046,8 @@ def run(triples: DataFrame, text: str, keyword: Callable[[str, bool], DataFrame]
         return got.df.select(*[lexical(F.col(v)).alias(v) for v in got.df.columns])
     if q.form == "ask":
         return c.group(q.where).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("ask"))
-    if q.form == "construct":
-        return c.construct(q).select(*[lexical(F.col(x)).alias(x) for x in ("s", "p", "o")])
+    if q.form in ("construct", "describe"):
+        return getattr(c, q.form)(q).select(*[lexical(F.col(x)).alias(x) for x in ("s", "p", "o")])
     raise SparqlError("an update is no query")
 
 
