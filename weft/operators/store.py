@@ -2,7 +2,9 @@
 
 A commit writes only what changes, as new folders: a table anew, or rows to add
 to it. The pointer names the folders of every table. Readers see the old pointer
-or the new one. One writer at a time holds the lock file. Tables that are looked
+or the new one. Documents and paths are keyed: a later folder's row replaces an
+earlier one's when they are read, so a run writes only the rows that it changes.
+One writer at a time holds the lock file. Tables that are looked
 up by a column are written in its order, so scans skip row groups. Works on any
 Hadoop file system.
 """
@@ -12,14 +14,18 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.model import TABLES
 
 
 #: Column in whose order a table is written.
 LAYOUT = {"posting": "term", "mention": "slug", "chunk": "chunk_id", "vector": "docid", "relation": "chunk_id", "path": "relpath", "doc": "docid"}
+#: Tables with one row per key.
+KEYS = {"doc": "docid", "path": "relpath"}
 #: Folders of a table beyond which it is written anew as one.
 MAX_PARTS = 32
 
@@ -59,11 +65,23 @@ class Store:
         parts = self._staged.get(table) or self.parts(table)
         if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.folder}/{at}" for at in parts])
+        read = lambda *some: self.spark.read.schema(TABLES[table]).parquet(*[f"{self.folder}/{at}" for at in some])
+        if table not in KEYS or len(parts) == 1:
+            return read(*parts)
+        return self._last(table, [read(at) for at in parts])
+
+    def _last(self, table: str, parts: list[DataFrame]) -> DataFrame:
+        """The rows of the last part that has their key."""
+        key, names = KEYS[table], TABLES[table].names
+        rows = reduce(DataFrame.unionByName, (df.select(*names, F.lit(i).alias("_part")) for i, df in enumerate(parts)))
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in names if c != key]), "_part").alias("_row"))
+        return last.select(key, "_row.*").select(*names)
 
     def commit(self, changes: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, check: Callable[[], None] | None = None) -> int:
         """Write tables anew (changes) or rows to add to them, and swap the pointer; on failure the pointer is untouched.
 
+        Rows added to a keyed table replace those with their key and have each key once.
+
         ``check`` sees the new tables through this store before anyone else does; if it raises, they are dropped.
         """
         state = self._load()
@@ -71,8 +89,8 @@ class Store:
         changes, added, made = dict(changes), dict(added or {}), []
         for table in list(added):
             if len(state["tables"].get(table, [])) >= MAX_PARTS:
-                df = added.pop(table)
-                changes[table] = self.read(table).unionByName(df.select(*TABLES[table].names))
+                old, new = self.read(table), added.pop(table).select(*TABLES[table].names)
+                changes[table] = self._last(table, [old, new]) if table in KEYS else old.unionByName(new)
         try:
             for table, df in (*changes.items(), *added.items()):
                 at = f"data/v{version:06d}-{uuid.uuid4().hex[:8]}/{table}"

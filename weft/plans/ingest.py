@@ -20,7 +20,7 @@ from weft.functions.text import rel_slug, slugify
 from weft.model import COMMITTED, Options
 from weft.operators.keyword import postings
 from weft.operators.store import Store
-from weft.operators.tables import classify, flagged, insert_ignore, supersede, upsert
+from weft.operators.tables import classify, flagged, upsert
 from weft.plans.providers import LLM, Embedder, HashEmbedder, MediaDeriver, MediaEmbedder, RuleLLM, extract
 from weft.plans.storage import materialize
 from weft.sources.walk import walk, with_content, with_identity
@@ -190,16 +190,16 @@ def ingest(
             F.lit(None).cast("string").alias("superseded_by"), F.lit(0).alias("vacuumed"), "tap_hash", "full_hash",
             F.lit(options.paranoid).alias("paranoid"),
         ).dropDuplicates(["docid"])
-        new_path = upsert(path, kinds.select("relpath", "mtime", "size", "docid"), ["relpath"])
-        # a document that was cleared away before comes back as a new one
-        new_doc = insert_ignore(doc.join(made, "docid", "left_anti"), made, ["docid"])
-        live = new_path.select("docid").distinct()
+        # only rows that change are written
+        path_rows = kinds.select("relpath", "mtime", "size", "docid")
+        live = upsert(path, path_rows, ["relpath"]).select("docid").distinct()
         replaced = kinds.where("replaces is not null").select(F.col("replaces").alias("docid"), F.col("docid").alias("by"))
-        replaced = materialize(replaced.join(live, "docid", "left_anti"), "ingest-replaced")
-        new_doc = supersede(new_doc, replaced)
-        # a content that some path holds again is superseded no more
-        back = new_doc.join(live.withColumn("_live", F.lit(True)), "docid", "left")
-        new_doc = back.withColumn("superseded_by", F.when(F.col("_live").isNull(), F.col("superseded_by"))).select(*doc.columns)
+        replaced = materialize(replaced.join(live, "docid", "left_anti").groupBy("docid").agg(F.min("by").alias("by")), "ingest-replaced")
+        # a document that was cleared away before comes back as a new one; a content that some path holds again is superseded no more
+        others = doc.join(made, "docid", "left_anti").join(replaced, "docid", "left").join(live.withColumn("_live", F.lit(True)), "docid", "left")
+        by = F.when(F.col("_live").isNull(), F.coalesce("by", "superseded_by"))
+        changed = others.where(~by.eqNullSafe(F.col("superseded_by"))).withColumn("superseded_by", by).select(*doc.columns)
+        doc_rows = made.select(*doc.columns).unionByName(changed)
 
         # only documents without rows are worked on, so their rows are added and no table is rewritten for them
         full_chunk = chunks.join(found.select("chunk_id", "summary", "extraction_failed"), "chunk_id", "left")
@@ -210,10 +210,10 @@ def ingest(
             full_chunk = full_chunk.unionByName(raw, allowMissingColumns=True)
         bits = int(meta.get("vector_bits", options.vector_bits))
         kept = {"vector": vectors} if bits == 32 else {"vector_code": encoded(vectors, "embedding", bits)}
-        added = {"chunk": full_chunk, **kept, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
-        changes = {"path": new_path, "doc": new_doc, "meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root, vector_bits=str(bits))}
+        added = {"path": path_rows, "doc": doc_rows, "chunk": full_chunk, **kept, "posting": posting, "chunk_len": chunk_len, **graph_rows(found)}
+        changes = {"meta": store.meta_table(embedding_dim=str(providers.embedder.dim), root=options.root, vector_bits=str(bits))}
         store.commit(changes, added, check=lambda: _whole(store, chunks))
-        report["superseded"] = replaced.select("docid").distinct().count()
+        report["superseded"] = replaced.count()
         report["chunks"] = chunks.count()
         report["failed"] = found.where("extraction_failed").count()
         return report
