@@ -109,6 +109,11 @@ def file_parts(units: np.ndarray, pivots: np.ndarray, posted: int, count: int, f
     return parts
 
 
+def place_kind(pivots: int) -> type:
+    """The narrowest number that names a pivot; orders travel with every posting."""
+    return np.uint16 if pivots <= 1 << 16 else np.uint32
+
+
 def _index(rows: DataFrame, dim: int, pivots, parts, posted: int) -> DataFrame:
     """file: the pivot, and for a file in parts also the pair of parts that meet."""
 
@@ -128,7 +133,7 @@ def _index(rows: DataFrame, dim: int, pivots, parts, posted: int) -> DataFrame:
                     some = np.flatnonzero(into > other)
                     cell = np.minimum(mine, other) * MAX_PARTS + np.maximum(mine, other)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((prefix[:, j].astype(np.int64) * MAX_PARTS**2 + cell)[some]), pa.array(names[some]), _binary(x[some]), _binary(prefix[some])],
+                        [pa.array((prefix[:, j].astype(np.int64) * MAX_PARTS**2 + cell)[some]), pa.array(names[some]), _binary(x[some]), _binary(prefix[some].astype(place_kind(len(pivots.value))))],
                         ["file", "class", "vector", "prefix"],
                     )
 
@@ -150,7 +155,7 @@ def footrule_bits(prefix: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rank(k: int, least: float, dim: int, reranked: int, share: float):
+def _rank(k: int, least: float, dim: int, reranked: int, share: float, kind: type):
     def one(names: np.ndarray, x: np.ndarray, prefix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         names, first = np.unique(names, return_index=True)
         n = len(names)
@@ -189,7 +194,7 @@ def _rank(k: int, least: float, dim: int, reranked: int, share: float):
             yield names[i + at][good], names[j][good], cosine[good]
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.float32), _matrix(b.column(3), np.int32)) for b in batches if b.num_rows]
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.float32), _matrix(b.column(3), kind)) for b in batches if b.num_rows]
         if not got:
             return
         file, names, x, prefix = (np.concatenate(v) for v in zip(*got))
@@ -260,7 +265,7 @@ def most_similar(
     met = (
         _index(rows, dim, spark.sparkContext.broadcast(pivots), spark.sparkContext.broadcast(parts), posted)
         .repartition(tasks, "file")
-        .mapInArrow(_rank(k, least, dim, reranked, share), "a long, b long, cosine double")
+        .mapInArrow(_rank(k, least, dim, reranked, share, place_kind(len(pivots))), "a long, b long, cosine double")
     )
     # a class speaks through its k + 1 least ids
     speakers = members.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1)
