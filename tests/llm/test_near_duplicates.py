@@ -91,6 +91,18 @@ def test_copies(spark):
     assert whole == {(a, b) for a in ids for b in ids if a < b} | {(a, "other") for a in ids}
 
 
+def test_counters_grow_with_the_input(spark, monkeypatch, tmp_path):
+    texts = corpus(4, 30)
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(f"{tmp_path}/t")
+    df, found = spark.read.parquet(f"{tmp_path}/t"), []
+    for bytes_a_counter, least in ((128, 1 << 20), (128, 1 << 6), (0.001, 1 << 6)):
+        monkeypatch.setattr(N, "BYTES_A_COUNTER", bytes_a_counter)
+        monkeypatch.setattr(N, "LEAST_COUNTERS", least)
+        found.append(N._counters(df))
+        assert {(r.a, r.b) for r in N.near_duplicates(df, "id", "text", 0.6, 3)[1].collect()} == {(r.a, r.b) for r in N.near_duplicates(df, "id", "text", 0.6, 3, hot=5)[1].collect()}
+    assert found[0] == 1 << 20 and found[1] < 1 << 12 and found[2] == N.MOST_COUNTERS
+
+
 def test_ring_is_exact_on_sums():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**32, (500, N.SEGMENTS), dtype=np.uint64).astype(np.uint32)

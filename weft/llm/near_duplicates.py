@@ -5,8 +5,8 @@ H = (1 - t) / (1 + t) * (|A| + |B|) shingles. Four steps, all exact:
 
 1. Scan: each text becomes a fingerprint of its set (equal sets are one class
    from here on), its size, and a ring of SEGMENTS parity words, one per class
-   of shingle hashes. A table of COUNTERS counters takes the frequency of all
-   shingles; its size is fixed, a collision only makes a shingle look commoner.
+   of shingle hashes. A table of counters takes the frequency of all
+   shingles; its size is bounded, a collision only makes a shingle look commoner.
 2. Index: every set posts its rarest (1 - t) * |A| + MEET shingles. Similar
    sets meet at least MEET times there, and early enough in both (positions).
    Postings travel packed, and pairs are counted, not listed per shingle. The
@@ -38,7 +38,8 @@ from weft.plans.storage import materialize
 SEGMENTS = 16
 #: Bits of a parity word.
 BITS = 32
-COUNTERS = 1 << 20
+#: Counters: one for so many bytes of the input's files, a power of two between these bounds.
+BYTES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 20, 1 << 24
 BLOCKS = 64
 MEET = 3
 #: Postings that one task of the index takes.
@@ -66,14 +67,25 @@ def _rings(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.reshape(texts, SEGMENTS, BITS), axis=2, bitorder="little").view("<u4").reshape(texts, SEGMENTS)
 
 
-def _scan(texts: DataFrame, width: int) -> DataFrame:
+def _counters(texts: DataFrame) -> int:
+    """By the planner's size of the input; the least for an input of unknown size, which is no table of files."""
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size if size < 1 << 60 else 0
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(size / BYTES_A_COUNTER).bit_length()))
+
+
+def _cells(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
+def _scan(texts: DataFrame, width: int, counters: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = WordHashes(), np.zeros(COUNTERS, dtype=np.int64)
+        known, counts = WordHashes(), np.zeros(counters, dtype=np.int64)
         for batch in batches:
             h, owner, n = shingle_sets(batch["text"].tolist(), width, known)
             if not len(h):
                 continue
-            counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+            counts += np.bincount(_cells(h, counters), minlength=counters)
             some = np.flatnonzero(n)
             rings = _rings(h, owner, len(n))
             yield pd.DataFrame(
@@ -91,23 +103,21 @@ def _scan(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(scan, "id string, fp long, n int, ring binary, block int, counts binary, task int")
 
 
-def _add_counts(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-    cells = COUNTERS // BLOCKS
-    total = np.zeros(cells, dtype=np.int64)
-    for data in batch["counts"]:
-        total += np.frombuffer(data, dtype=f"<u{len(data) // cells}").astype(np.int64)
-    return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+def _frequencies(scanned: DataFrame, tasks: int, counters: int) -> np.ndarray:
+    """The counters of all texts, added in two rounds of about sqrt(tasks) tables each."""
+    cells = counters // BLOCKS
 
+    def add(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(cells, dtype=np.int64)
+        for data in batch["counts"]:
+            total += np.frombuffer(data, dtype=f"<u{len(data) // cells}").astype(np.int64)
+        return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-def _frequencies(scanned: DataFrame, tasks: int) -> np.ndarray:
-    """The counters of all texts: COUNTERS numbers at any scale, added in two rounds of about sqrt(tasks) tables each."""
     fan = math.isqrt(tasks) + 1
-    some = scanned.where("block >= 0").groupBy("block", F.pmod("task", F.lit(fan))).applyInPandas(_add_counts, "block int, counts binary")
-    blocks = some.groupBy("block").applyInPandas(_add_counts, "block int, counts binary")
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    size = COUNTERS // BLOCKS
-    for r in blocks.toLocalIterator():
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
+    some = scanned.where("block >= 0").groupBy("block", F.pmod("task", F.lit(fan))).applyInPandas(add, "block int, counts binary")
+    out = np.zeros(counters, dtype=np.int64)
+    for r in some.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
+        out[r["block"] * cells : (r["block"] + 1) * cells] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
@@ -143,6 +153,7 @@ def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray,
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, rare = WordHashes(), frequency.value
+        load = int(np.median(rare))
         whole = (batch["text"].tolist() for batch in batches)
         for texts in (x[at : at + 65_536] for x in whole for at in range(0, len(x), 65_536)):  # sets are numbered in 16 bits
             h, owner, n = shingle_sets(texts, width, known)
@@ -155,13 +166,14 @@ def _post(texts: DataFrame, width: int, t: float, frequency, labels: np.ndarray,
             new[keep] = np.arange(len(keep))
             mine = new[owner] >= 0
             h, owner, n = h[mine], new[owner[mine]], n[keep]
-            order = np.lexsort((rare[(h >> np.uint64(44)).astype(np.int64)], owner))  # stable: ties stay in order of the hash
+            order = np.lexsort((rare[_cells(h, len(rare))], owner))  # stable: ties stay in order of the hash
             h, owner = h[order], owner[order]
             n = np.bincount(owner, minlength=len(fp))
             at = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
             use = at < _prefix_sizes(n, t)[owner]
             h, owner, at = h[use], owner[use], at[use]
-            groups = np.minimum(rare[(h >> np.uint64(44)).astype(np.int64)] // hot + 1, MAX_GROUPS).astype(np.int64)
+            # what a counter has beyond the usual load, which other shingles brought
+            groups = np.minimum(np.maximum(rare[_cells(h, len(rare))].astype(np.int64) - load, 0) // hot + 1, MAX_GROUPS)
             at, h, side = np.minimum(at, MOST_PLACE), mixed(h), np.full(len(h), BOTH)
             if (groups > 1).any():
                 h, owner, at, side = _dealt(h, owner, at, fp[owner], groups)
@@ -361,11 +373,12 @@ def near_duplicates(
     """
     spark = texts.sparkSession
     source = texts.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text")).where("id is not null and text <> ''")
-    scanned = materialize(_scan(source, width), "near-scan")
+    counters = _counters(source)
+    scanned = materialize(_scan(source, width, counters), "near-scan")
     members = scanned.where("block < 0").select("id", "fp", "n").distinct()
     total, last = scanned.agg(F.sum("n"), F.max("task")).first()
     total = total or 0
-    frequency = spark.sparkContext.broadcast(_frequencies(scanned, (last or 0) + 1))
+    frequency = spark.sparkContext.broadcast(_frequencies(scanned, (last or 0) + 1, counters))
     parts = max(spark.sparkContext.defaultParallelism, int(total * (1 - threshold) / POSTINGS_A_TASK) + 1)
     met = (
         _post(source, width, threshold, frequency, _labels(spark, parts), hot)
