@@ -170,6 +170,11 @@ def similar_to(strings: DataFrame, reference: DataFrame, k: int = 2) -> DataFram
     Equal keys are included at any length; others need references of at least
     k + 1 characters. Null keys are left out on both sides.
     """
+    return near_to(strings, reference, k).unionByName(equal_to(strings, reference))
+
+
+def near_to(strings: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """The pairs of :func:`similar_to` that are not equal."""
     s = strings.select("ns", "key").where("ns is not null and key is not null").distinct()
     r = reference.select("ns", "key").where("ns is not null and key is not null").distinct()
     met = (
@@ -180,6 +185,10 @@ def similar_to(strings: DataFrame, reference: DataFrame, k: int = 2) -> DataFram
         .where(F.levenshtein("key", "ref", 2 * k) >= 0)
         .distinct()
     )
-    near = met.withColumn("edits", distance_udf(k)("key", "ref")).where(F.col("edits") <= k)
-    equal = s.join(r, ["ns", "key"], "left_semi").select("ns", "key", F.col("key").alias("ref"), F.lit(0).alias("edits"))
-    return near.unionByName(equal)
+    return met.withColumn("edits", distance_udf(k)("key", "ref")).where(F.col("edits") <= k)
+
+
+def equal_to(strings: DataFrame, reference: DataFrame) -> DataFrame:
+    """The equal pairs of :func:`similar_to`."""
+    s = strings.select("ns", "key").where("ns is not null and key is not null").distinct()
+    return s.join(reference.select("ns", "key"), ["ns", "key"], "left_semi").select("ns", "key", F.col("key").alias("ref"), F.lit(0).alias("edits"))
