@@ -3,7 +3,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.edit_join import SegmentIndex, banded_distance, similar_pairs, similar_to
+from weft.llm.edit_join import SegmentIndex, banded_distance, near_to, similar_pairs, similar_to
+from weft.plans.storage import materialize
 
 
 def full_distance(a, b):
@@ -77,3 +78,9 @@ def test_empty(spark):
     none = spark.createDataFrame([], "ns string, key string")
     assert similar_pairs(none).count() == 0
     assert similar_to(none, none).count() == 0
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    words = materialize(spark.createDataFrame([("a", f"word{i:04}") for i in range(200)], "ns string, key string"))
+    for found in (similar_pairs(words, 2), near_to(words, words, 2)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,10 @@ appears in the longer one, at most k places off, as it is or with its first or
 last letter swapped across the border. Segments are the keys of an inverted
 index, position-shifted substrings and their two swapped variants look them up,
 and a banded edit distance verifies what meets.
+
+The index and the lookups are always shuffled: the planner takes an exploded
+table for as large as what it was exploded from, and would have the driver
+broadcast some 50 rows for each key of a table that it finds small.
 """
 
 from __future__ import annotations
@@ -155,7 +159,7 @@ def similar_pairs(strings: DataFrame, k: int = 2) -> DataFrame:
     s = strings.select("ns", "key").where("ns is not null and key is not null").distinct()
     met = (
         _looked_up(s, k, both_ways=False)
-        .join(_posted(s, k, ("_ns", "_key")), "_post")
+        .join(_posted(s, k, ("_ns", "_key")).hint("merge"), "_post")
         .where((F.col("ns") == F.col("_ns")) & (F.col("key") != F.col("_key")))
         .select("ns", F.least("key", "_key").alias("key_a"), F.greatest("key", "_key").alias("key_b"))
         .where(F.levenshtein("key_a", "key_b", 2 * k) >= 0)  # a swap counts two there; keeps most pairs from Python
@@ -179,7 +183,7 @@ def near_to(strings: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     r = reference.select("ns", "key").where("ns is not null and key is not null").distinct()
     met = (
         _looked_up(s, k, both_ways=True)
-        .join(_posted(r, k, ("_ns", "ref")), "_post")
+        .join(_posted(r, k, ("_ns", "ref")).hint("merge"), "_post")
         .where((F.col("ns") == F.col("_ns")) & (F.col("key") != F.col("ref")))
         .select("ns", "key", "ref")
         .where(F.levenshtein("key", "ref", 2 * k) >= 0)
