@@ -1,8 +1,10 @@
 import random
 from itertools import combinations
 
-from weft.llm.name_words import NameWords, content, learn_words, shortens
-from weft.llm.names import Reader, link_names
+from pyspark.sql import functions as F
+
+from weft.llm.name_words import NameWords, content, if_few, learn_words, settled, shortens
+from weft.llm.names import Reader, _read, _read_by_tables, link_names
 
 WORDS = NameWords(
     {w: "org" for w in ("dairy", "association", "tidal", "institute")} | {"lake": "given", "katherine": "given", "conference": "event"},
@@ -95,3 +97,49 @@ def test_a_long_chain_of_spellings_is_one_entity(spark):
         rows += [(chain[-1],)] * (i + 1)
     found = link_names(spark.createDataFrame(rows, "name string"))
     assert {r.rows for r in found.collect()} == set(range(1, 41)) and found.select("entity").distinct().count() == 1
+
+
+def test_words_are_common_however_many_names_there_are(spark):
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    many = spark.range(230_000).select(F.concat(letters, F.lit("x "), letters, F.lit("y")).alias("name"))
+    few = spark.createDataFrame([(f"Zorblat {core}",) for core in ("Midun", "Karop", "Tesil", "Bogar")], "name string")
+    assert learn_words(many.unionByName(few)).roles == {"zorblat": "given"}
+
+
+def test_chains_of_short_forms_in_tables(spark):
+    short = {"a": "b", "b": "c", "c": "d", "x": "y", "y": "x", "t": "s", "s": "x", "one": "two"} | {f"n{i}": f"n{i + 1}" for i in range(40)}
+    common = spark.createDataFrame([(w, "given") for w in ("d", "x", "two", "n3", "n40", "free")], "word string, role string")
+    shorts = spark.createDataFrame(list(short.items()), "word string, full string")
+    roles, ends = settled(common, shorts)
+    known = if_few(common, shorts, 100)
+    assert if_few(common, shorts, 5) is None and if_few(common, shorts, 40) is None
+    assert {r.word: r.role for r in roles.collect()} == known.roles == {w: "given" for w in ("d", "two", "n40", "free")}
+    assert {r.word: r.full for r in ends.collect()} == known.shorts and known.shorts["t"] == known.shorts["s"] == "x" and known.shorts["n0"] == "n40"
+
+
+def test_reading_by_tables_is_reading_in_memory(spark):
+    rng = random.Random(5)
+    words = [*WORDS.roles, *WORDS.shorts, *WORDS.titles, *WORDS.legal, "the", "of", "Conférence", "assoz", "tid", "kat"]
+
+    def typed(word):
+        at = rng.randrange(len(word))
+        word = rng.choice([word, word, word.title(), word.upper(), word[:at] + word[at + 1 :], word[:at] + "q" + word[at:], word[: at + 1] + "."])
+        return word + rng.choice(["", "", "", ",", "."])
+
+    names = [n for e in ENTITIES for n in e] + ["?!", "word " * 300, "A"]
+    names += [" ".join(typed(rng.choice([*words, coined(rng)])) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", " 2001", " '14", " TR-10"]) for _ in range(600)]
+    df = spark.createDataFrame([(n, 1) for n in sorted(set(names))], "name string, rows long")
+    roles = spark.createDataFrame(list(WORDS.roles.items()), "word string, role string")
+    shorts = spark.createDataFrame(list(WORDS.shorts.items()), "word string, full string")
+    wanted = {tuple(r) for r in _read(df, WORDS).collect()}
+    found = {tuple(r) for r in _read_by_tables(df, roles, shorts).collect()}
+    assert found == wanted and len(wanted) > 500
+
+
+def test_more_words_than_are_held(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"{g} {s}" for s in (coined(rng) for _ in range(8)) for g in ("Robert", "Vesna", "Mr Robert", "Bob", "Robret")]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    wanted = {tuple(r) for r in link_names(df).collect()}
+    monkeypatch.setattr("weft.llm.names.MAX_IN_MEMORY", 1)
+    assert {tuple(r) for r in link_names(df).collect()} == wanted

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weft.plans.lookup import lookup
@@ -29,10 +29,10 @@ TITLES = frozenset("mr mrs ms miss dr prof professor sir madam".split())
 LEGAL = frozenset("ltd limited inc incorporated co company corp corporation gmbh plc llc".split())
 SMALL = frozenset(("the", "of"))
 
-#: A common word stands beside at least so many different rarer words ...
+#: A common word stands beside at least so many different rarer words.
 LEAST_FAMILIES = 4
-#: ... and beside one for so many names at most, so that fewer than MOST_COMMON words in all are common.
-MOST_COMMON = 150_000
+#: Words that the driver and the readers may hold; if more are learned, they stay in tables.
+MAX_IN_MEMORY = 20_000
 #: Share of the names of a common word that have different cores, at least; of a core most names have no rarer word.
 LEAST_SPREAD = 0.4
 #: Share of a nickname's cores that are cores of the full word, and of a short form's, whose letters speak for it too.
@@ -84,10 +84,56 @@ def shortens(short: str, word: str) -> bool:
 def learn_words(names: DataFrame, titles: frozenset[str] = TITLES, legal: frozenset[str] = LEGAL) -> NameWords:
     """Roles and short forms of the words of ``names`` (name string, distinct).
 
-    Every name counts. What is sent to the driver are the common words and their
-    short forms: fewer than MOST_COMMON words have the families that a common
-    word needs. Few names teach nothing, and then none of them is taken for common.
+    Every name counts, and every word that has the families of a common word is
+    one. Few names teach nothing, and then none of them is taken for common. All
+    words come to the driver; see :func:`learned_tables` for more than it holds.
     """
+    common, short = learned_tables(names, titles, legal)
+    return _in_memory(common.collect(), short.collect(), titles, legal)
+
+
+def if_few(common: DataFrame, short: DataFrame, most: int, titles: frozenset[str] = TITLES, legal: frozenset[str] = LEGAL) -> NameWords | None:
+    """The :func:`learned_tables` in memory, unless one of them has more than ``most`` rows."""
+    roles = common.limit(most + 1).collect()
+    shorts = short.limit(most + 1).collect() if len(roles) <= most else []
+    return _in_memory(roles, shorts, titles, legal) if max(len(roles), len(shorts)) <= most else None
+
+
+def _in_memory(common: list[Row], short: list[Row], titles: frozenset[str], legal: frozenset[str]) -> NameWords:
+    shorts, ends = {r["word"]: r["full"] for r in short}, {}
+    for first in shorts:
+        word, seen = first, set()
+        while word in shorts and word not in seen:
+            seen.add(word)
+            word = shorts[word]
+        ends[first] = word
+    return NameWords({r["word"]: r["role"] for r in common if r["word"] not in ends}, {a: b for a, b in ends.items() if a != b}, titles, legal)
+
+
+def settled(common: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same as tables, for any number of words: word, role; word, full (the last word of a chain of short forms)."""
+    short = materialize(short, "words-short")
+    ends = _followed(short)
+    loops = materialize(ends.select(F.col("full").alias("word")).distinct().join(short.select("word"), "word", "left_semi"), "words-loops")
+    if loops.limit(1).count():  # words that stand for each other: a chain ends at the first of them
+        ends = _followed(materialize(short.join(loops, "word", "left_anti"), "words-short"))
+    return materialize(common.select("word", "role").join(short.select("word"), "word", "left_anti"), "words-roles"), ends
+
+
+def _followed(short: DataFrame) -> DataFrame:
+    """Each round doubles the length of the chains that are followed; loops don't settle, but are met in so many rounds."""
+    for _ in range(short.count().bit_length() + 1):
+        onward = short.select(F.col("word").alias("full"), F.col("full").alias("next"))
+        moved = short.join(onward, "full", "left").select("word", F.coalesce("next", "full").alias("full"), F.col("next").isNotNull().alias("moved"))
+        moved = materialize(moved, "words-short")
+        short = moved.drop("moved")
+        if not moved.where("moved").limit(1).count():
+            break
+    return short
+
+
+def learned_tables(names: DataFrame, titles: frozenset[str] = TITLES, legal: frozenset[str] = LEGAL) -> tuple[DataFrame, DataFrame]:
+    """What :func:`learn_words` learns, as found: word, role of the common words; word, full of the short forms, which may be common too or have one themselves."""
     skip = titles | legal | SMALL
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,10 +156,8 @@ def learn_words(names: DataFrame, titles: frozenset[str] = TITLES, legal: frozen
     used = words.withColumn("core", F.when(F.col("two")[0] != F.col("word"), F.col("two")[0]))
     stats = used.groupBy("word").agg(F.countDistinct("core").alias("families"), F.avg(F.col("year").cast("double")).alias("years"), F.avg("size").alias("size"), F.count(F.lit(1)).alias("df"))
     stats = materialize(stats, "words-stats")
-    count = said.count()
-    least = max(LEAST_FAMILIES, 3 * count / MOST_COMMON)
     spread = F.col("families") > LEAST_SPREAD * F.col("df")
-    common = stats.where((F.col("families") >= least) & spread).select(
+    common = stats.where((F.col("families") >= LEAST_FAMILIES) & spread).select(
         "word", "families", F.when(F.col("years") > 0.5, "event").when(F.col("size") >= 2.5, "org").otherwise("given").alias("role")
     )
     common = materialize(common, "words-common")
@@ -137,13 +181,4 @@ def learn_words(names: DataFrame, titles: frozenset[str] = TITLES, legal: frozen
     # other letters, and several words that it may stand for: it stands beside whatever they do
     best = met.groupBy("word").agg(F.max(F.struct("alike", "both", "full")).alias("best"), F.count(F.lit(1)).alias("several"))
     best = best.where("best.alike or several = 1").select("word", F.col("best.full").alias("full"))
-    shorts = {r["word"]: r["full"] for r in best.collect()}
-    roles = {r["word"]: r["role"] for r in common.select("word", "role").collect()}
-    ends = {}
-    for short in shorts:
-        word, seen = short, set()
-        while word in shorts and word not in seen:
-            seen.add(word)
-            word = shorts[word]
-        ends[short] = word
-    return NameWords({w: r for w, r in roles.items() if w not in ends}, {a: b for a, b in ends.items() if a != b}, titles, legal)
+    return common, best

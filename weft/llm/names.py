@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.edit_join import SegmentIndex, distance_udf, equal_to, near_to, similar_pairs
-from weft.llm.name_words import SMALL, TOKEN, NameWords, learn_words, plain
+from weft.llm.name_words import LEGAL, MAX_IN_MEMORY, SMALL, TITLES, TOKEN, NameWords, if_few, learned_tables, plain, settled
+from weft.plans.lookup import lookup
 from weft.plans.storage import materialize
 
 K = 2
@@ -155,6 +156,96 @@ class Reader:
         return Name("person", surname, given, f"initial|{given[0]}", False, len(full) == 2 and given not in self.given)
 
 
+class TableReader(Reader):
+    """Reads names of which :func:`_word_facts` says what is known about their words."""
+
+    def know(self, facts: Iterable[dict]) -> None:
+        self._facts = {x["word"]: x for x in facts}
+        self.given = {w for w, x in self._facts.items() if x["given"]} | {x["short"] for x in self._facts.values() if x["short_given"]}
+        self.words = NameWords({}, {w: x["short"] for w, x in self._facts.items() if x["short"]})
+
+    def _role(self, word: str, dotted: bool) -> tuple[str, str]:
+        meant = self._facts[word]["dotted" if dotted else "plain"] if word in self._facts else None
+        return (meant["role"], meant["full"]) if meant else ("word", word)
+
+    def is_given(self, word: str) -> bool:
+        return word in self._facts and self._facts[word]["near_given"]
+
+
+def _word_facts(tokens: DataFrame, roles: DataFrame, shorts: DataFrame) -> DataFrame:
+    """What a :class:`Reader` finds out about each of ``tokens`` (word, distinct), by joins; words that say nothing are left out.
+
+    roles, shorts: see :func:`weft.llm.name_words.settled`.
+    """
+    given = roles.where("role = 'given'").select("word")
+    fixed = [(w, r, w) for r, known in (("small", SMALL), ("title", TITLES - SMALL), ("legal", LEGAL - TITLES - SMALL)) for w in sorted(known)]
+    fixed = tokens.sparkSession.createDataFrame(fixed, "word string, role string, full string")
+    full = shorts.join(roles.select(F.col("word").alias("full"), "role"), "full", "left").select("word", F.coalesce("role", F.lit("given")).alias("role"), "full")
+    full = full.unionByName(roles.select("word", "role", F.col("word").alias("full"))).join(fixed.select("word"), "word", "left_anti")
+    full = materialize(full.unionByName(fixed), "names-words")
+    meant = F.struct("role", "full")
+
+    starts = (
+        roles.where("role <> 'given'").join(full, ["word", "role"]).where(F.length("word") >= 3)
+        .select("word", "role", "full", F.explode(F.sequence(F.lit(3), F.length("word"))).alias("n"))
+        .groupBy(F.substring("word", F.lit(1), F.col("n")).alias("word")).agg(F.count(F.lit(1)).alias("several"), F.first(meant).alias("begun"))
+        .where("several = 1").select("word", "begun")
+    )
+    kind = F.when(F.col("role") == "given", "given").otherwise("other")
+    long = full.where((F.length("word") >= 4) & (F.col("role") != "title"))
+    refs = materialize(long.select(kind.alias("ns"), F.col("word").alias("key")), "names-long")
+    keys = tokens.where(F.length("word") >= 4).select(F.explode(F.array(F.lit("given"), F.lit("other"))).alias("ns"), F.col("word").alias("key"))
+    keys = materialize(keys, "names-tokens")
+    near = near_to(keys.where(F.length("key") < 8), refs, 1).unionByName(near_to(keys.where(F.length("key") >= 8), refs, 2))
+    near = near.where(F.col("edits") * 4 <= F.length("ref"))
+    near = near.join(full.select(F.col("word").alias("ref"), "role", "full"), "ref")
+    near = near.groupBy(F.col("key").alias("word")).agg(
+        F.min(F.when(F.col("ns") == "other", F.struct("edits", "ref", "role", "full"))).alias("near"), F.max(F.col("ns") == "given").alias("near_given")
+    )
+    short = shorts.join(given.select(F.col("word").alias("full"), F.lit(True).alias("short_given")), "full", "left")
+    facts = (
+        tokens.join(full, "word", "left").join(starts, "word", "left").join(near, "word", "left")
+        .join(short.select("word", F.col("full").alias("short"), "short_given"), "word", "left")
+        .withColumn("given", F.coalesce(F.col("role") == "given", F.lit(False)))
+        .withColumn("exact", F.when(F.col("role") != "given", meant))
+        .withColumn("near", F.when(~F.col("given"), F.struct("near.role", "near.full")))
+        .withColumn("near", F.when(F.col("near.role").isNotNull(), F.col("near")))
+        .withColumn("begun", F.when(~F.col("given"), F.col("begun")))
+        .select(
+            "word", F.coalesce("exact", "near").alias("plain"), F.coalesce("exact", "begun", "near").alias("dotted"), "given",
+            (F.col("given") | F.coalesce("near_given", F.lit(False))).alias("near_given"), "short", F.coalesce("short_given", F.lit(False)).alias("short_given"),
+        )
+        .where("plain is not null or dotted is not null or near_given or short is not null")
+    )
+    return materialize(facts, "names-facts")
+
+
+def _read_by_tables(names: DataFrame, roles: DataFrame, shorts: DataFrame) -> DataFrame:
+    """:func:`_read` for any number of known words: each name comes with the facts about its own."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "words": [list({x.lower(): 1 for x in TOKEN.findall(plain(n))}) for n in batch["name"]]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = TableReader()
+        for batch in batches:
+            rows = []
+            for name, n, facts in zip(batch["name"], batch["rows"], batch["facts"]):
+                reader.know(facts if facts is not None else ())
+                if found := reader.read(name):
+                    rows.append((name, n, *found))
+            yield pd.DataFrame(rows, columns=["name", "rows", *Name._fields])
+
+    said = materialize(names.select("name").mapInPandas(split, "name string, words array<string>").select("name", F.explode("words").alias("word")), "names-said")
+    facts = _word_facts(said.select("word").distinct(), roles, shorts)
+    known = lookup(said, facts, ["word"]).groupBy("name").agg(F.collect_list(F.struct("word", "plain", "dotted", "given", "near_given", "short", "short_given")).alias("facts"))
+    return names.join(known, "name", "left").select("name", "rows", "facts").mapInPandas(read, READ)
+
+
+READ = "name string, rows long, ns string, core string, given string, short string, partial boolean, swap boolean"
+
+
 def _read(names: DataFrame, words: NameWords) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(words)
@@ -162,7 +253,7 @@ def _read(names: DataFrame, words: NameWords) -> DataFrame:
             rows = [(name, n, *found) for name, n in zip(batch["name"], batch["rows"]) if (found := reader.read(name))]
             yield pd.DataFrame(rows, columns=["name", "rows", *Name._fields])
 
-    return names.mapInPandas(read, "name string, rows long, ns string, core string, given string, short string, partial boolean, swap boolean")
+    return names.mapInPandas(read, READ)
 
 
 def link_names(names: DataFrame, words: NameWords | None = None) -> DataFrame:
@@ -177,7 +268,11 @@ def link_names(names: DataFrame, words: NameWords | None = None) -> DataFrame:
     """
     distinct = names.select("name").where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     distinct = materialize(distinct, "names-distinct")
-    parsed = materialize(_read(distinct, words or learn_words(distinct)), "names-read")
+    if words is None:
+        learned = learned_tables(distinct)
+        words = if_few(*learned, MAX_IN_MEMORY)
+    parsed = _read(distinct, words) if words is not None else _read_by_tables(distinct, *settled(*learned))
+    parsed = materialize(parsed, "names-read")
 
     # "Surname Given": turn names round whose last word is a given name of many and whose first is not
     people = parsed.where("ns = 'person'")
