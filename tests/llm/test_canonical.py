@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from weft.llm.canonical import gloss_phrases, learned_aliases, map_to_canon, reference_phrases
 
 CANON = [
@@ -49,6 +51,13 @@ def test_aliases_are_learned(spark):
     assert {r.value: r.canon_id for r in map_to_canon(values, phrases).collect()} == {"homoo": 1, "Outfit?": 2, "has in hand": 112}
 
 
+def test_an_alias_counts_however_many_others_vote(spark):
+    many = spark.range(80_000).select(F.lit("type").alias("field"), F.explode(F.array(F.lit("person"), F.lit("filler"))).alias("value"), F.concat(F.lit("x"), "id").alias("context"))
+    few = spark.createDataFrame([("type", t, f"name {i}") for i in range(3) for t in ("org", "outfit")], "field string, value string, context string")
+    learned = learned_aliases(many.unionByName(few), canon(spark))
+    assert {(r.phrase, r.canon_id, r.votes) for r in learned.collect()} == {("outfit", 2, 3.0)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "field string, value string")
     assert map_to_canon(none, reference_phrases(canon(spark))).count() == 0

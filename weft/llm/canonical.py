@@ -34,8 +34,6 @@ PREPOSITIONS = ["of", "by", "to", "in", "at", "on", "from", "with", "for"]
 LEAST_VOTES = 3.0
 LEAST_Z = 5.0
 RUNNER_UP = 0.6
-#: An alias has at least one in so many votes of its field, so a field learns fewer aliases than this.
-MAX_LEARNED = 20_000
 
 
 def gloss_phrases(gloss: str | None) -> list[str]:
@@ -141,11 +139,9 @@ def learned_aliases(statements: DataFrame, canon: DataFrame) -> DataFrame:
     ).select("field", "reading", "all", F.col("top.votes").alias("votes"), (-F.col("top.neg")).alias("canon_id"), F.coalesce("next", F.lit(0.0)).alias("next"))
     z = (F.col("votes") - F.col("all") * F.col("chance")) / F.sqrt(F.col("all") * F.col("chance") * (1 - F.col("chance")) + 1e-9)
     sure = (z >= LEAST_Z) | ((F.col("votes") >= 5) & (F.col("votes") >= 0.8 * F.col("all")) & (z >= LEAST_Z / 2))
-    field_votes = votes.groupBy("field").agg((F.sum("votes") / MAX_LEARNED).alias("least"))
     return (
         ranked.join(overall, ["field", "canon_id"])
-        .join(field_votes, "field")
-        .where((F.col("votes") >= F.greatest(F.lit(LEAST_VOTES), "least")) & sure & (F.col("next") <= RUNNER_UP * F.col("votes")))
+        .where((F.col("votes") >= LEAST_VOTES) & sure & (F.col("next") <= RUNNER_UP * F.col("votes")))
         .select("field", "canon_id", F.col("reading").alias("phrase"), "votes")
     )
 
